@@ -7,15 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
+from .bpe import bpe_decode, bpe_encode
 from .common import table
 from .exact_dedup import exact_dedup
+from .license_scan import TEMPLATES, license_scan, template_bigrams
 from .mixing import mix
+from .secret_scan import secret_scan
 from .sharding import lookup_table, shard
 
 SHARDS = tuple(f"shard-{i:03}" for i in range(64))
 SLOTS = 4099
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_TEMPLATE_ROWS = ", ".join(f"({_quoted(t['name'])}, [{', '.join(map(_quoted, t['pairs']))}])" for t in template_bigrams(TEMPLATES))
+
+
+def ranks() -> tuple[str, str]:
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe_decode(bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), *ranks()), *ranks())
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents").select("doc_id"), shards=SHARDS, slots=SLOTS).select("doc_id", "slot", "shard")
 
@@ -24,13 +45,24 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe": op2_bpe,
     "op5_shard": op5_shard,
     "op7_mix": op7_mix,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_license_scan": op9_license_scan,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
@@ -62,6 +94,22 @@ ORACLE_SQL: dict[str, str] = {
                 sum(d.size) OVER (PARTITION BY c.source ORDER BY d.u, d.doc_id, d.size ROWS UNBOUNDED PRECEDING)::BIGINT - d.size AS before
             FROM sized d JOIN cut c ON d.source IS NOT DISTINCT FROM c.source)
         SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, more - before)))::BIGINT AS taken FROM placed""",
+    "op9_license_scan": rf"""
+        WITH known(name, pairs) AS (VALUES {_TEMPLATE_ROWS}),
+        segments AS (
+            SELECT doc_id, unnest(list_concat(string_split(coalesce(text, ''), chr(10)),
+                CASE WHEN contains(text, chr(10) || chr(10)) THEN list_filter(string_split_regex(text, '\n{{2,}}'), lambda p: contains(p, chr(10))) ELSE [] END,
+                CASE WHEN contains(text, chr(10)) THEN [text] ELSE [] END)) AS segment
+            FROM documents),
+        worded AS (SELECT doc_id, list_filter(string_split_regex(lower(regexp_replace(segment, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '') AS w FROM segments),
+        paired AS (SELECT doc_id, row_number() OVER () AS s, len(w) - 1 AS n, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS own FROM worded WHERE len(w) BETWEEN 2 AND 1000),
+        scored AS (
+            SELECT doc_id, s, name, -2.0::DOUBLE * len(list_intersect(own, pairs)) / (n + len(pairs)) AS d
+            FROM paired JOIN known ON n >= len(pairs) * (0.8 / 1.2)::DOUBLE AND n <= len(pairs) * (1.2 / 0.8)::DOUBLE),
+        best AS (SELECT doc_id, s, min(struct_pack(d := d, name := name)) AS m FROM scored WHERE d <= -0.8 GROUP BY doc_id, s),
+        per AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT m.name, ',' ORDER BY m.name) AS licenses, min(m) AS m FROM best GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_matches, coalesce(licenses, '') AS licenses, m.name AS best_license, coalesce(-m.d, 0.0)::DOUBLE AS best_dice
+        FROM documents d LEFT JOIN per USING (doc_id)""",
     "op10_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
