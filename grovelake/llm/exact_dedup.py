@@ -66,7 +66,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         fresh = pairs.groupBy("a", "b").agg(first.alias("name"))
         now = stored(pairs.join(fresh, ["a", "b"]).select("_rk", "n", "pos", "name"), "level")
         level += 1
-    groups = named.join(known.select("_rk", "_id"), "_rk").groupBy("level", "name").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_rk")).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    groups = stored(named.join(known.select("_rk", "_id"), "_rk").groupBy("level", "name").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_rk")).alias("best"), F.count(F.lit(1)).alias("group_size")), "groups")
     return (
         named.join(groups, ["level", "name"])
         .join(known.select("_rk", "_id", "sha"), "_rk")
