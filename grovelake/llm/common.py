@@ -52,7 +52,7 @@ def repeats(df: DataFrame, id_col: str) -> bool:
 
 
 def numbered(df: DataFrame, order: Sequence[Column], to: str) -> DataFrame:
-    """df with `to` = 0, 1, 2, ... in the order given, without bringing all rows to one task.
+    """df with `to` = 0, 1, 2, ... in ascending order (nulls first), without bringing all rows to one task.
 
     Rows are range-partitioned and sorted; only one count per partition is gathered to make the offsets.
     """
@@ -72,4 +72,4 @@ def keyed(df: DataFrame, id_col: str, text_col: str, to: str = "_rk") -> DataFra
     """
     if not repeats(df, id_col):
         return df.withColumn(to, F.col(id_col).cast("long"))
-    return stored(numbered(df, [F.col(id_col).asc_nulls_last(), F.col(text_col).asc_nulls_first()], to), "keyed")
+    return stored(numbered(df, [F.col(id_col).isNull(), F.col(id_col), F.col(text_col)], to), "keyed")
