@@ -12,8 +12,10 @@ import public_tokenizers
 from .bpe import bpe_decode, bpe_encode
 from .common import table
 from .exact_dedup import exact_dedup
+from .html_extract import extract
 from .license_scan import TEMPLATES, license_scan, template_bigrams
 from .mixing import mix
+from .quality_crf import held_out, score, train
 from .secret_scan import secret_scan
 from .sharding import lookup_table, shard
 
@@ -37,10 +39,21 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents").select("doc_id"), shards=SHARDS, slots=SLOTS).select("doc_id", "slot", "shard")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
+    model = train(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
+    scored = score(docs, model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -59,7 +72,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op3_extract": op3_extract,
     "op5_shard": op5_shard,
+    "op6_quality": op6_quality,
     "op7_mix": op7_mix,
     "op8_secret_scan": op8_secret_scan,
     "op9_license_scan": op9_license_scan,
