@@ -12,6 +12,7 @@ import public_tokenizers
 from .bpe import bpe_decode, bpe_encode
 from .common import table
 from .exact_dedup import exact_dedup
+from .fingerprints import NEAR_LANES, SUM_LANES, edited_fingerprints
 from .html_extract import extract
 from .license_scan import TEMPLATES, license_scan, template_bigrams
 from .mixing import mix
@@ -43,6 +44,10 @@ def op3_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents").select("doc_id"), shards=SHARDS, slots=SLOTS).select("doc_id", "slot", "shard")
 
@@ -73,6 +78,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_extract": op3_extract,
+    "op4_fingerprint": op4_fingerprint,
     "op5_shard": op5_shard,
     "op6_quality": op6_quality,
     "op7_mix": op7_mix,
@@ -82,6 +88,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_fingerprint": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n FROM documents),
+        nexts AS (
+            SELECT *, coalesce(lead(t) OVER w, first_value(t) OVER w) AS nt FROM d
+            WINDOW w AS (ORDER BY doc_id DESC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+        versions AS (
+            SELECT doc_id, n, t AS t0, left(t, n - n // 2) || left(nt, n // 2) AS t1, nt AS t2 FROM nexts),
+        texts AS (
+            SELECT doc_id, which, unnest(string_split(t, chr(10))) AS p
+            FROM (SELECT doc_id, unnest([0, 1, 2]) AS which, unnest([t0, t1, t2]) AS t FROM versions)),
+        lanes AS (
+            SELECT doc_id, which, i * 4 + k AS lane, sum(('0x' || substr(md5(i || ':' || p), 8 * k + 1, 8))::BIGINT) % 4294967296 AS v
+            FROM texts, range({SUM_LANES // 4}) a(i), range(4) b(k) GROUP BY ALL),
+        summed AS (SELECT doc_id, which, string_agg(printf('%08x', v::BIGINT), '' ORDER BY lane) AS f FROM lanes GROUP BY ALL),
+        said AS (SELECT doc_id, which, s, md5(s) AS h FROM (SELECT doc_id, which, unnest(string_split(p, '. ')) AS s FROM texts) WHERE s <> ''),
+        sparse AS (
+            SELECT doc_id, which, ('0x' || substr(h, 1, 4))::BIGINT % {NEAR_LANES} AS lane,
+                sum(greatest(1, round(sqrt(length(s)) * 4)::BIGINT) * CASE WHEN substr(h, 5, 1) >= '8' THEN 1 ELSE -1 END) AS v
+            FROM said GROUP BY ALL),
+        dense AS (
+            SELECT doc_id, which, lane, ((coalesce(v, 0)::BIGINT + 32768) % 65536 + 65536) % 65536 - 32768 AS v
+            FROM (SELECT doc_id, which, lane FROM (SELECT doc_id FROM d), range(3) w(which), range({NEAR_LANES}) l(lane)) LEFT JOIN sparse USING (doc_id, which, lane)),
+        vectors AS (
+            SELECT doc_id, which, string_agg(printf('%04x', ((v + 65536) % 65536)::BIGINT), '' ORDER BY lane) AS f, list(v ORDER BY lane) AS v, sum(v * v)::BIGINT AS norm
+            FROM dense GROUP BY ALL),
+        wide AS (SELECT doc_id, which, s.f || ':' || v.f AS f, v.v, v.norm FROM summed s JOIN vectors v USING (doc_id, which)),
+        likes AS (
+            SELECT a.doc_id, b.which, CASE WHEN a.f = b.f OR greatest(a.norm, b.norm) = 0 THEN 1.0::DOUBLE
+                ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, list_sum(list_transform(range(1, {NEAR_LANES + 1}), lambda i: a.v[i] * b.v[i]))::DOUBLE / greatest(a.norm, b.norm))) END AS near
+            FROM wide a JOIN wide b USING (doc_id) WHERE a.which = 0)
+        SELECT doc_id, n AS n_chars, sha256(t1) AS edited_sha256, a.f AS fingerprint, b.f AS edited_fingerprint, l1.near AS near_edited, l2.near AS near_next
+        FROM versions JOIN (SELECT * FROM wide WHERE which = 0) a USING (doc_id) JOIN (SELECT * FROM wide WHERE which = 1) b USING (doc_id)
+        JOIN (SELECT * FROM likes WHERE which = 1) l1 USING (doc_id) JOIN (SELECT * FROM likes WHERE which = 2) l2 USING (doc_id)""",
     "op5_shard": f"""
         WITH placed AS (SELECT doc_id, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {SLOTS})::INTEGER AS slot FROM documents)
         SELECT doc_id, slot, 'shard-' || lpad(string_split('{",".join(map(str, lookup_table(SHARDS, SLOTS)))}', ',')[slot + 1], 3, '0') AS shard FROM placed""",
