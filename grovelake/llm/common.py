@@ -65,11 +65,16 @@ def numbered(df: DataFrame, order: Sequence[Column], to: str) -> DataFrame:
     return placed.withColumn("_at", at).join(F.broadcast(before), "_part").withColumn(to, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before", *names)
 
 
-def keyed(df: DataFrame, id_col: str, text_col: str, to: str = "_rk") -> DataFrame:
-    """df with a unique long key per row: the id itself where ids are unique, else the place in (id, text) order.
+def keyed_or_numbered(df: DataFrame, id_col: str, text_col: str, to: str = "_rk") -> tuple[DataFrame, bool]:
+    """df with a unique long key per row, and whether that is the id itself; else it is the place in (id, text) order.
 
-    Rows equal in both are interchangeable, so either may get either key.
+    Ids serve where they are unique and not null. Null ids come last. Rows equal in both are interchangeable, so
+    either may get either key.
     """
     if not repeats(df, id_col):
-        return df.withColumn(to, F.col(id_col).cast("long"))
-    return stored(numbered(df, [F.col(id_col).isNull(), F.col(id_col), F.col(text_col)], to), "keyed")
+        return df.withColumn(to, F.col(id_col).cast("long")), True
+    return stored(numbered(df, [F.col(id_col).isNull(), F.col(id_col), F.col(text_col)], to), "keyed"), False
+
+
+def keyed(df: DataFrame, id_col: str, text_col: str, to: str = "_rk") -> DataFrame:
+    return keyed_or_numbered(df, id_col, text_col, to)[0]

@@ -16,6 +16,7 @@ from .fingerprints import NEAR_LANES, SUM_LANES, edited_fingerprints
 from .html_extract import extract
 from .license_scan import TEMPLATES, license_scan, template_bigrams
 from .mixing import mix
+from .near_dedup import near_dedup
 from .quality_crf import held_out, score, train
 from .secret_scan import secret_scan
 from .sharding import lookup_table, shard
@@ -35,6 +36,10 @@ def ranks() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), width=2)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe_decode(bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), *ranks()), *ranks())
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -76,6 +81,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_bpe": op2_bpe,
     "op3_extract": op3_extract,
     "op4_fingerprint": op4_fingerprint,
