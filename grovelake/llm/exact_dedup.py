@@ -36,6 +36,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hash_bits below 64 is for tests that force two blocks onto one hash.
     """
     rows = keyed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text")
+    return _identified(rows, block_bytes, hash_bits).select(F.col("_id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256")
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4096) -> DataFrame:
+    """The rows of docs, all columns, of which exact_dedup says kept."""
+    rows = keyed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct("*").alias("_row")), "_id", "_text")
+    kept = stored(_identified(rows.select("_rk", "_id", "_text"), block_bytes, 64).where("kept").select("_rk"), "kept")
+    return rows.join(kept, "_rk", "left_semi").select("_row.*")
+
+
+def _identified(rows: DataFrame, block_bytes: int, hash_bits: int) -> DataFrame:
+    """_rk, _id, keep_id, group_size, kept, text_sha256 of each of rows (_rk, _id, _text)."""
     raw = F.encode(normalised(F.col("_text")), "utf-8")
     route = lambda b: F.shiftrightunsigned(F.xxhash64(b), 64 - hash_bits)
     known = stored(
@@ -70,5 +82,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return (
         named.join(groups, ["level", "name"])
         .join(known.select("_rk", "_id", "sha"), "_rk")
-        .select(F.col("_id").alias(id_col), F.col("best._id").alias("keep_id"), "group_size", (F.col("_rk") == F.col("best._rk")).alias("kept"), F.col("sha").alias("text_sha256"))
+        .select("_rk", "_id", F.col("best._id").alias("keep_id"), "group_size", (F.col("_rk") == F.col("best._rk")).alias("kept"), F.col("sha").alias("text_sha256"))
     )

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, numbered, stored
+from .common import WORD, keyed, numbered, stored
 
 
 def word_count(text: Column) -> Column:
@@ -74,3 +74,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.col("_id").alias(id_col), F.when(~F.col("_none"), F.col("_src")).alias(source_col), "size", "source_size", "target",
         (F.col("_whole") + halfway.cast("long")).alias("copies"), (F.col("_whole") * F.col("size") + more).alias("taken"),
     )
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The mix itself: each row of docs, all columns, as many times as mix says in copies.
+
+    A document is a copy or none here: the one of each source that the mix takes in part is rounded to the nearer.
+    """
+    rows = keyed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).alias("_source"), F.struct("*").alias("_row")), "_id", "_text")
+    copies = stored(mix(rows.select("_rk", "_text", "_source"), "_rk", "_text", "_source", **how).where("copies > 0").select("_rk", "copies"), "copies")
+    return rows.join(copies, "_rk").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("_row.*")

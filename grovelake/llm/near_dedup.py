@@ -182,6 +182,19 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of their own (of equal rows one is kept); null ids come last. An empty table gives an empty result; other columns are ignored.
     """
     rows, plain = keyed_or_numbered(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text")
+    out = _grouped(rows, plain, width, percent, star_rounds, estimate)
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept", "class_id")
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, of which near_dedup says kept: one of each component."""
+    rows, plain = keyed_or_numbered(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct("*").alias("_row")), "_id", "_text")
+    kept = stored(_grouped(rows.select("_rk", "_id", "_text"), plain, width, percent, 3, 0.55).where("kept").select("_rk"), "kept")
+    return rows.join(kept, "_rk", "left_semi").select("_row.*")
+
+
+def _grouped(rows: DataFrame, plain: bool, width: int, percent: int, star_rounds: int, estimate: float) -> DataFrame:
+    """_rk, _id, n, component_id, kept, class_id of each of rows (_rk, _id, _text); plain: row keys are ids."""
     signed = stored(signatures(rows, width), "signatures")
     some = signed.where("n > 0")
     classes = stored(some.groupBy("d1", "d2").agg(F.min("_rk").alias("rep")), "classes")
@@ -234,4 +247,4 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         names = stored(ids.select(F.col("_rk").alias("k"), F.col("_id").alias("name")), "ids")
         out = out.join(names.select(F.col("k").alias("comp"), F.col("name").alias("component_id")), "comp").join(names.select(F.col("k").alias("rep"), F.col("name").alias("class_id")), "rep")
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("_rk") == F.col("comp")).alias("kept"), "class_id")
+    return out.select("_rk", "_id", "n", "component_id", (F.col("_rk") == F.col("comp")).alias("kept"), "class_id")

@@ -214,6 +214,17 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", to: str = "scor
     return docs.select(*rest, text_col).mapInArrow(run, docs.select(*rest, F.lit(0.0).alias(to)).schema)
 
 
+def good_documents(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose score reaches the threshold; texts pass through once, without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            yield batch.filter(pa.array([model.score(t or "") >= threshold for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_column) -> F.Column:
     """Rows that no label is learnt from."""
     return F.crc32(F.encode(F.coalesce(id_column.cast("string"), F.lit("")), "utf-8")) % 5 == 0
