@@ -66,14 +66,15 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     made = template_bigrams(templates)
     known = F.from_json(F.lit(json.dumps(made)), "array<struct<name:string,pairs:array<string>>>")
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    least, most = min(len(t["pairs"]) for t in made) * low, max(len(t["pairs"]) for t in made) * high
+    sizes = {len(t["pairs"]) for t in made}
+    fitting = [a for a in range(1, 2 + int(2 * max(sizes) / threshold)) if any(2.0 * min(a, b) / (a + b) >= threshold for b in sizes)]
+    least, most = fitting[0], fitting[-1]
     texts, word_lists = "array<string>", "array<array<string>>"
 
     def best(words: Column) -> Column:
         size = F.size(words) - 1
         pair = lambda i: F.lower(F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))
-        near = F.filter(known, lambda t: (size >= F.size(t["pairs"]) * low) & (size <= F.size(t["pairs"]) * high))
+        near = F.filter(known, lambda t: 2.0 * F.least(size, F.size(t["pairs"])) / (size + F.size(t["pairs"])) >= threshold)
 
         def scored(own: Column) -> Column:
             dice = lambda t: F.struct((-2.0 * F.size(F.array_intersect(own, t["pairs"])) / (size + F.size(t["pairs"]))).alias("d"), t["name"].alias("name"))

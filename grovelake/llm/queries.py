@@ -18,7 +18,7 @@ from .license_scan import TEMPLATES, license_scan, template_bigrams
 from .mixing import mix
 from .near_dedup import near_dedup
 from .quality_crf import held_out, score, train
-from .secret_scan import secret_scan
+from .secret_scan import BASE, KINDS, WEAK, secret_scan
 from .sharding import lookup_table, shard
 
 SHARDS = tuple(f"shard-{i:03}" for i in range(64))
@@ -29,6 +29,34 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _part_sql(kind: str) -> str:
+    """doc_id, kind (number), start, stop, found of one kind of part; RE2 has no look-behind, its \\b stands for the one used."""
+    pattern, group, least = (*BASE[kind],) if kind in BASE else (WEAK[kind].replace("(?<![A-Za-z0-9_])", r"\b"), 0, 0)
+    p = _quoted(pattern)
+    return f"""SELECT doc_id, {KINDS.index(kind)} AS kind, start, start + length(found) AS stop, found FROM (
+        SELECT doc_id, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start, f[i] AS found, m[i] AS measured
+        FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM (SELECT doc_id, string_split_regex(t, {p}) AS gaps, regexp_extract_all(t, {p}) AS f, regexp_extract_all(t, {p}, {group}) AS m FROM docs)))
+        WHERE length(measured) >= {least}"""
+
+
+_SECRET_SQL = rf"""
+    WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    base AS ({" UNION ALL ".join(map(_part_sql, BASE))}),
+    weak AS (SELECT * FROM ({" UNION ALL ".join(map(_part_sql, WEAK))}) WHERE kind <> 4 OR regexp_matches(found, '[A-Z]') AND regexp_matches(found, '[a-z]') AND regexp_matches(found, '[0-9]')),
+    clear AS (SELECT * FROM weak w WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = w.doc_id AND b.start < w.stop AND w.start < b.stop)
+        AND NOT (kind = 4 AND EXISTS (SELECT 1 FROM weak e WHERE e.kind = 5 AND e.doc_id = w.doc_id AND e.start < w.stop AND w.start < e.stop))),
+    parts AS (SELECT * FROM base UNION ALL SELECT * FROM clear),
+    near AS (
+        SELECT x.doc_id, x.kind, x.start, x.stop, bool_or(y.kind IN (1, 3)) AS id, bool_or(y.kind IN (0, 2, 4)) AS secret, bool_or(y.kind = 5) AS address
+        FROM clear x JOIN parts y ON x.doc_id = y.doc_id AND (x.kind, x.start) <> (y.kind, y.start) AND y.start - x.stop <= 256 AND x.start - y.stop <= 256 GROUP BY ALL),
+    linked AS (SELECT doc_id, kind, start, stop FROM near WHERE kind = 4 AND (id OR address) OR kind = 3 AND secret OR kind = 5 AND id AND secret),
+    named AS (SELECT doc_id, kind, start, {KINDS!r}[kind + 1] || ':' || start || ':' || stop AS s, base FROM (SELECT doc_id, kind, start, stop, true AS base FROM base UNION ALL SELECT *, false FROM linked)),
+    told AS (
+        SELECT doc_id, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS k, count(*) FILTER (kind = 2) AS h, count(*) FILTER (NOT base) AS l,
+            string_agg(s, ',' ORDER BY start, kind) FILTER (base) AS b, string_agg(s, ',' ORDER BY start, kind) AS spans FROM named GROUP BY doc_id)
+    SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(k, 0)::BIGINT AS n_access, coalesce(h, 0)::BIGINT AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(l, 0)::BIGINT AS n_linked
+    FROM docs LEFT JOIN told USING (doc_id)""".replace(repr(KINDS), "[" + ", ".join(map(_quoted, KINDS)) + "]")
+
 _TEMPLATE_ROWS = ", ".join(f"({_quoted(t['name'])}, [{', '.join(map(_quoted, t['pairs']))}])" for t in template_bigrams(TEMPLATES))
 
 
@@ -94,6 +122,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_near_dedup": r"""
+        WITH RECURSIVE worded AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sets AS (
+            SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS s FROM worded),
+        classed AS (SELECT doc_id, len(s)::BIGINT AS n, CASE WHEN len(s) > 0 THEN min(doc_id) OVER (PARTITION BY s) ELSE doc_id END AS class_id, s FROM sets),
+        heads AS (SELECT * FROM classed WHERE doc_id = class_id AND n > 0),
+        items AS (SELECT doc_id, n, unnest(s) AS x FROM heads),
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS total, count(*) AS met FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM common WHERE 100 * met >= 80 * (total - met)),
+        reach(v, x) AS (SELECT doc_id, doc_id FROM heads UNION SELECT v, b FROM reach JOIN links ON x = a),
+        least AS (SELECT v, min(x) AS comp FROM reach GROUP BY v)
+        SELECT doc_id, n AS n_shingles, coalesce(comp, doc_id) AS component_id, coalesce(comp, doc_id) = doc_id AS kept, class_id FROM classed LEFT JOIN least ON class_id = v""",
     "op4_fingerprint": rf"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n FROM documents),
         nexts AS (
@@ -154,6 +195,7 @@ ORACLE_SQL: dict[str, str] = {
                 sum(d.size) OVER (PARTITION BY c.source ORDER BY d.u, d.doc_id, d.size ROWS UNBOUNDED PRECEDING)::BIGINT - d.size AS before
             FROM sized d JOIN cut c ON d.source IS NOT DISTINCT FROM c.source)
         SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, more - before)))::BIGINT AS taken FROM placed""",
+    "op8_secret_scan": _SECRET_SQL,
     "op9_license_scan": rf"""
         WITH known(name, pairs) AS (VALUES {_TEMPLATE_ROWS}),
         segments AS (
@@ -165,7 +207,7 @@ ORACLE_SQL: dict[str, str] = {
         paired AS (SELECT doc_id, row_number() OVER () AS s, len(w) - 1 AS n, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS own FROM worded WHERE len(w) BETWEEN 2 AND 1000),
         scored AS (
             SELECT doc_id, s, name, -2.0::DOUBLE * len(list_intersect(own, pairs)) / (n + len(pairs)) AS d
-            FROM paired JOIN known ON n >= len(pairs) * (0.8 / 1.2)::DOUBLE AND n <= len(pairs) * (1.2 / 0.8)::DOUBLE),
+            FROM paired JOIN known ON 2.0::DOUBLE * least(n, len(pairs)) / (n + len(pairs)) >= 0.8),
         best AS (SELECT doc_id, s, min(struct_pack(d := d, name := name)) AS m FROM scored WHERE d <= -0.8 GROUP BY doc_id, s),
         per AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT m.name, ',' ORDER BY m.name) AS licenses, min(m) AS m FROM best GROUP BY doc_id)
         SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_matches, coalesce(licenses, '') AS licenses, m.name AS best_license, coalesce(-m.d, 0.0)::DOUBLE AS best_dice
