@@ -6,6 +6,7 @@ leaf in its list decides its node, so each level is one group-by on (list, place
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,9 +19,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """df as written to the checkpoint folder that all executors share."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='grovelake-')}")
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        sc.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='grovelake-')}")
     return df.checkpoint()
 
 
