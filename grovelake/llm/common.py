@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='grovelake-')}")
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
