@@ -9,10 +9,10 @@ with a sign that the sentence's hash chooses. Products of those lanes estimate h
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed, let, numbered, stored
+from .common import keyed_or_numbered, let
 
 SUM_LANES, NEAR_LANES = 16, 128
 
@@ -71,59 +71,69 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(most == 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot.cast("double") / most)))
 
 
-def near_vectors(rows: DataFrame, key: list[str], texts: dict[str, Column]) -> DataFrame:
-    """key and, for each of texts, an array of NEAR_LANES signed lanes. rows are partitioned by the first of key."""
-    each = F.array(*(F.struct(F.lit(i).alias("which"), sentences(t).alias("s")) for i, t in enumerate(texts.values())))
-    said = rows.select(*key, F.explode(each).alias("t")).select(*key, "t.which", F.explode("t.s").alias("sentence"))
-    entry = said.select(*key, "which", near_entry(F.col("sentence")).alias("e")).select(*key, "which", "e.lane", "e.value")
-    sums = entry.groupBy(*key, "lane").agg(*(F.sum(F.when(F.col("which") == i, F.col("value")).otherwise(0)).alias(f"v{i}") for i in range(len(texts))))
-    lanes = sums.groupBy(*key).agg(F.collect_list(F.struct("lane", *(f"v{i}" for i in range(len(texts))))).alias("l"))
-    zero = F.transform(F.sequence(F.lit(0), F.lit(NEAR_LANES - 1)), lambda i: F.lit(0).cast("long"))
+def near_lanes(text: Column) -> Column:
+    """array<long>: the sum of all sentences' entries, as signed numbers modulo 2**16."""
+    zero = F.array_repeat(F.lit(0).cast("long"), NEAR_LANES)
 
-    def dense(i: int) -> Column:
-        at = F.map_from_entries(F.transform("l", lambda x: F.struct(x["lane"], x[f"v{i}"])))
-        return let(at, lambda m: F.transform(F.sequence(F.lit(0), F.lit(NEAR_LANES - 1)), lambda k: _signed(F.coalesce(F.element_at(m, k), F.lit(0).cast("long")))))
+    def step(acc: Column, e: Column) -> Column:
+        at = e["lane"]
+        return F.concat(F.slice(acc, F.lit(1), at), F.array(F.element_at(acc, at + 1) + e["value"]), F.slice(acc, at + 2, F.lit(NEAR_LANES)))
 
-    out = lanes.select(*key, *(dense(i).alias(name) for i, name in enumerate(texts)))
-    back = rows.select(*key).join(out, key, "left")
-    return back.select(*key, *(F.coalesce(name, zero).alias(name) for name in texts))
+    return F.aggregate(F.transform(sentences(text), near_entry), zero, step, lambda acc: F.transform(acc, _signed))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id and fingerprint. Null counts as empty; an empty text is one empty paragraph."""
-    rows = keyed(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")), "_id", "_text")
-    near = near_vectors(rows.repartition("_rk"), ["_rk"], {"near": F.col("_text")})
-    sums = rows.select("_rk", "_id", sum_lanes(F.col("_text")).alias("sums"))
-    return sums.join(near, "_rk").select(F.col("_id").alias(id_col), fingerprint_text(F.col("sums"), F.col("near")).alias("fingerprint"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col), fingerprint_text(sum_lanes(text), near_lanes(text)).alias("fingerprint"))
 
 
-def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _first_at_least(marks: Column, n: int, value: Column) -> Column:
+    """The place (from 0) of the first of n ascending marks that is at least value, by bisection."""
+    start = F.struct(F.lit(0).alias("low"), F.lit(n - 1).alias("high"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        above = F.element_at(marks, middle + 1) >= value
+        return F.struct(F.when(above | (s["low"] >= s["high"]), s["low"]).otherwise(middle + 1).alias("low"), F.when(above & (s["low"] < s["high"]), middle).otherwise(s["high"]).alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, n.bit_length()))), start, halve)["low"]
+
+
+def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_rows: int = 1024, most_slices: int = 4096) -> DataFrame:
     """One row per input row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text is the text with its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
     row's, in descending order of id; after the last row comes the first, and a single row is its own next. Null counts as
     empty; null ids come last. Rows that repeat an id come in the order of their texts, descending. An empty table gives an
     empty result; other columns are ignored.
+
+    Texts are shuffled once, by slices of the order of ids: about slice_rows rows each, most_slices at most. The largest id of a
+    slice is also dealt to the slice above, whose smallest id it follows; each row meets the next in a window.
     """
-    rows = keyed(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")), "_id", "_text")
-    sizes = rows.select("_rk", "_id", F.length("_text").alias("n"))
-    placed = stored(numbered(sizes, [F.col("_rk")], "_up"), "places")  # row keys follow ids upwards, null ids above all
-    n_rows, n_ids = placed.agg(F.count(F.lit(1)), F.count("_id")).first()
-    placed = placed.withColumn("_place", F.when(F.col("_id").isNull(), n_ids + n_rows - 1 - F.col("_up")).otherwise(n_ids - 1 - F.col("_up")))
-    nexts = placed.select(F.col("_rk").alias("_next"), F.pmod(F.col("_place") - 1, F.lit(max(1, n_rows))).alias("_place"))
-    pairs = stored(placed.join(nexts, "_place").select("_rk", "_next", "n"), "pairs")
-
-    keyed_texts = rows.join(pairs.select(F.col("_next").alias("_rk"), F.col("_rk").alias("_to"), F.floor(F.col("n") / 2).cast("int").alias("_take")), "_rk")
-    heads = keyed_texts.select(F.col("_to").alias("_rk"), F.expr("left(_text, _take)").alias("_head"))
-    both = rows.join(pairs, "_rk").join(heads, "_rk")
-    both = both.select("_rk", "_id", "_next", "n", "_text", F.concat(F.expr("left(_text, n - cast(floor(n / 2) as int))"), "_head").alias("_edited"))
-    near = near_vectors(both, ["_rk"], {"near": F.col("_text"), "near_e": F.col("_edited")})
-    sums = both.select("_rk", "_id", "_next", "n", F.sha2(F.encode(F.col("_edited"), "utf-8"), 256).alias("sha"), sum_lanes(F.col("_text")).alias("sums"), sum_lanes(F.col("_edited")).alias("sums_e"))
-    whole = stored(sums.join(near, "_rk"), "vectors")
-    out = whole.join(whole.select(F.col("_rk").alias("_next"), F.col("near").alias("near_n"), F.col("sums").alias("sums_n")), "_next")
-    same = lambda a, b, x, y: F.when((F.col(a) == F.col(b)) & (F.col(x) == F.col(y)), 1.0).otherwise(likeness(F.col(x), F.col(y)))
+    rows, plain = keyed_or_numbered(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")), "_id", "_text")
+    n_rows = rows.count()
+    up = F.col("_rk") if plain else F.when(F.col("_id").isNull(), F.col("_rk") - n_rows).otherwise(F.col("_rk"))
+    rows = rows.select("_id", "_text", up.alias("_up"))
+    n = max(1, min(most_slices, n_rows // slice_rows))
+    found = rows.agg(F.percentile_approx("_up", [(i + 1) / n for i in range(n)], 20 * n), F.max("_up")).first()
+    marks = sorted({*(found[0] or []), found[1] or 0})
+    n = len(marks)
+    bound = F.split(F.lit(",".join(map(str, marks))), ",").cast("array<bigint>")
+    sliced = rows.withColumn("_slice", _first_at_least(bound, n, F.col("_up")))
+    here, above = F.struct(F.col("_slice").alias("g"), F.lit(False).alias("guest")), F.struct(((F.col("_slice") + 1) % n).alias("g"), F.lit(True).alias("guest"))
+    last = F.element_at(bound, F.col("_slice") + 1) == F.col("_up")
+    dealt = sliced.select("_id", "_text", "_up", F.explode(F.when(last, F.array(here, above)).otherwise(F.array(here))).alias("p"))
+    dealt = dealt.select("_id", "_text", "_up", "p.g", "p.guest").repartition("g")
+    summed = dealt.select("*", sum_lanes(F.col("_text")).alias("sums"), near_lanes(F.col("_text")).alias("near"))
+    order = Window.partitionBy("g").orderBy("guest", F.desc("_up"))
+    met = summed.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in ("_text", "sums", "near"))).where("not guest")
+    edited = F.expr("concat(left(_text, n - cast(floor(n / 2) as int)), left(next__text, cast(floor(n / 2) as int)))")
+    both = met.withColumn("n", F.length("_text")).withColumn("_edited", edited)
+    out = both.select("_id", "n", "sums", "near", "next_sums", "next_near", F.sha2(F.encode("_edited", "utf-8"), 256).alias("sha"), sum_lanes(F.col("_edited")).alias("sums_e"), near_lanes(F.col("_edited")).alias("near_e"))
+    like = lambda x, y: F.when((F.col(f"sums{x}") == F.col(y[0])) & (F.col(f"near{x}") == F.col(y[1])), 1.0).otherwise(likeness(F.col(f"near{x}"), F.col(y[1])))
     return out.select(
         F.col("_id").alias(id_col), F.col("n").cast("long").alias("n_chars"), F.col("sha").alias("edited_sha256"),
         fingerprint_text(F.col("sums"), F.col("near")).alias("fingerprint"), fingerprint_text(F.col("sums_e"), F.col("near_e")).alias("edited_fingerprint"),
-        same("sums", "sums_e", "near", "near_e").alias("near_edited"), same("sums", "sums_n", "near", "near_n").alias("near_next"),
+        like("", ("sums_e", "near_e")).alias("near_edited"), like("", ("next_sums", "next_near")).alias("near_next"),
     )

@@ -31,6 +31,21 @@ def test_edited_texts_and_likeness(spark):
     assert sum(r.near_edited for r in long) / len(long) > 0.3 > 0.2 > sum(r.near_next for r in long) / len(long)
 
 
+def test_slices_meet_at_their_ends(spark):
+    rng = random.Random(3)
+    ids = rng.sample(range(-500, 5000), 90)
+    rows = [(i, "".join(rng.choice("ab\n. ") for _ in range(rng.randint(0, 30)))) for i in ids]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (1, 7, 60):
+        got = {r.doc_id: (r.n_chars, r.edited_sha256) for r in edited_fingerprints(df, slice_rows=size).collect()}
+        order = sorted(rows, reverse=True)
+        want = {}
+        for k, (i, t) in enumerate(order):
+            h, following = len(t) // 2, order[(k + 1) % len(order)][1]
+            want[i] = (len(t), hashlib.sha256((t[: len(t) - h] + following[:h]).encode()).hexdigest())
+        assert got == want
+
+
 def test_order_does_not_matter_and_paragraphs_come_and_go(spark):
     df = spark.createDataFrame([(1, "a b. c\nd e\nf"), (2, "f\nd e\na b. c"), (3, "a b. c\nf"), (4, "d e")], "doc_id long, text string")
     prints = {r.doc_id: r.fingerprint for r in fingerprints(df).collect()}
