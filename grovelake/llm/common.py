@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value of the contracts: a run of ASCII white space, and a word between such runs.
 WHITE_RUN = r"[\x20\x09-\x0D]+"
@@ -70,10 +71,10 @@ def numbered(df: DataFrame, order: Sequence[Column], to: str) -> DataFrame:
 def keyed_or_numbered(df: DataFrame, id_col: str, text_col: str, to: str = "_rk") -> tuple[DataFrame, bool]:
     """df with a unique long key per row, and whether that is the id itself; else it is the place in (id, text) order.
 
-    Ids serve where they are unique and not null. Null ids come last. Rows equal in both are interchangeable, so
+    Ids serve where they are integers, unique and not null. Null ids come last. Rows equal in both are interchangeable, so
     either may get either key.
     """
-    if not repeats(df, id_col):
+    if isinstance(df.schema[id_col].dataType, T.IntegralType) and not repeats(df, id_col):
         return df.withColumn(to, F.col(id_col).cast("long")), True
     return stored(numbered(df, [F.col(id_col).isNull(), F.col(id_col), F.col(text_col)], to), "keyed"), False
 

@@ -30,7 +30,7 @@ IMPLIED = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("
 NO_TEXT = frozenset("head script style template noscript iframe object embed svg math canvas audio video nav header footer aside form button select textarea input dialog menu title".split())
 NO_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 NO_CLASS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising)?|banner|sponsor(?:ed)?|promo(?:tion)?|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|side-?bar|footer|header|masthead|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|share|sharing|social|related|recommended|comments?|disqus|respond|reply|replies|pagination|pager|widget|toolbar|skip-?link|login|search)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|ad(?:box|banner|slot|unit|space|container|sbygoogle)|advert(?:s|isement|ising)?|banner|sponsor(?:ed)?|promo(?:tion)?|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|side-?bar|footer|header|masthead|cookies?|consent|gdpr|notices?|alerts?|announcement|disclaimer|toast|popup|modal|newsletter|subscribe|signup|share|sharing|social|related|recommended|comments?|disqus|respond|reply|replies|pagination|pager|widget|toolbar|skip-?link|login|search)(?:$|[\s_-])",
     re.I,
 )
 TOKEN = re.compile(
@@ -38,6 +38,7 @@ TOKEN = re.compile(
 )
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WHITE = re.compile(r"\s+")
+CAMEL = re.compile("(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
@@ -136,7 +137,7 @@ def is_chrome(node: Node) -> bool:
         return True
     if node.attrs.strip() and node.tag not in ("html", "body", "main"):
         for name, a, b, c in ATTR.findall(node.attrs):
-            value = html.unescape(a or b or c)
+            value = CAMEL.sub("-", html.unescape(a or b or c))
             if (name := name.lower()) in ("class", "id"):
                 if NO_CLASS.search(value):
                     return True

@@ -53,3 +53,8 @@ def test_empty_table_and_rows_kept(spark):
     df = spark.createDataFrame([(1, "a", 5), (2, "a ", 6), (3, "a", 7)], "doc_id long, text string, _rk int")
     assert exact_dedup(df.limit(0)).count() == 0
     assert sorted(map(tuple, without_copies(df).collect())) == [(1, "a", 5), (2, "a ", 6)]
+
+
+def test_ids_that_are_not_integers(spark):
+    df = spark.createDataFrame([("b", "x y"), ("a", "x\ty"), ("c", "x"), ("d", "x ")], "doc_id string, text string")
+    assert sorted((r.doc_id, r.keep_id) for r in exact_dedup(df).collect()) == [("a", "a"), ("b", "a"), ("c", "c"), ("d", "d")]

@@ -17,7 +17,7 @@ def test_blocks_references_and_white_space():
 
 def test_chrome_goes():
     page = """<html><head><title>t</title><style>p{}</style><script>var a = "</p><p>no</p>";</script></head><body><header>no</header><nav>no</nav>
-    <div class="cookie-notice">no</div><div class="ad">no</div><form><input value="no">no</form><aside>no</aside><main><article><p>yes <a href="x" title="a>b">link</a></p>
+    <div class="cookie-notice">no</div><div id="siteAlert">no</div><ins class="adsbygoogle">no</ins><div class="ad">no</div><form><input value="no">no</form><aside>no</aside><main><article><p>yes <a href="x" title="a>b">link</a></p>
     <article class="comment">no</article></article></main><section id="comments">no</section><footer>no</footer></body></html>"""
     assert text_of(page) == "yes link"
 
