@@ -7,10 +7,11 @@ do; candidates below the estimate are dropped before any text is fetched, and th
 
 Groups may be large, so pairs within a band are never listed:
 1. Documents with equal sets (by a 128-bit digest of the set) form a class; one stands for it from here on.
-2. Star rounds: in each band whose documents aren't yet in one component, all are compared with one centre, another in
-   each round; what links joins the centre's component.
+2. Star rounds: in each band whose documents aren't yet in one component, all are compared with a centre: first the document
+   that meets most others in its bands, as the original of many copies does, then a few others; what links joins components.
 3. In bands that still hold several components, the documents outside the largest are compared with the others. The
-   comparison of sketches is part of the join's condition, so only likely links come out.
+   comparison of sketches is part of the join's condition, and Odd sketches of the whole sets, precise at the
+   threshold, are compared as well, so that little but links comes out.
 Components are merged by alternating large-star and small-star steps over stored tables.
 """
 
@@ -28,6 +29,10 @@ from pyspark.sql import functions as F
 from .common import keyed_or_numbered, stored
 
 BANDS, ROWS, SKETCH_WORDS = 24, 4, 4
+#: Centres of a band in the star rounds after the first.
+CENTRES = 8
+#: 64-bit words of the Odd sketch of a whole set, which tells pairs near the threshold apart in the last round.
+SET_WORDS = 16
 _RNG = np.random.default_rng(20240229)
 _TIMES = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -91,6 +96,12 @@ def odd_sketch(least: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def set_sketch(hashes: np.ndarray) -> np.ndarray:
+    """The Odd sketch of all shingles: its XOR counts by how many two sets differ."""
+    bits = np.bincount((hashes >> np.uint64(54)).astype(np.int64), minlength=64 * SET_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def sketch_bits(estimate: float) -> int:
     """The most bits in which two Odd sketches may differ for their estimated similarity to reach the one given."""
     n, k = 64 * SKETCH_WORDS, BANDS * ROWS
@@ -98,16 +109,17 @@ def sketch_bits(estimate: float) -> int:
 
 
 def signatures(rows: DataFrame, width: int) -> DataFrame:
-    """_rk, _id, n, d1, d2 (digest of the set), bands, sketch of each row of _rk, _id, _text."""
+    """_rk, _id, n, d1, d2 (digest of the set), bands, sketch, whole of each row of _rk, _id, _text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHash()
         with np.errstate(over="ignore"):
             for batch in batches:
-                sizes, digests, bands, sketches = [], [], [], []
+                sizes, digests, bands, sketches, wholes = [], [], [], [], []
                 for text in batch.column(2).to_pylist():
                     h = shingle_hashes(words_of(text), width, known)
                     sizes.append(len(h))
+                    wholes.append(set_sketch(h))
                     digests.append(np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=16).digest(), np.int64))
                     if len(h):
                         least = samples(h)
@@ -117,11 +129,11 @@ def signatures(rows: DataFrame, width: int) -> DataFrame:
                         bands.append(np.empty(0, np.int64))
                         sketches.append(np.zeros(SKETCH_WORDS, np.int64))
                 d = np.array(digests, np.int64).reshape(-1, 2)
-                arrays = [pa.array(x, pa.list_(pa.int64())) for x in (bands, sketches)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), *arrays], names=["_rk", "_id", "n", "d1", "d2", "bands", "sketch"])
+                arrays = [pa.array(x, pa.list_(pa.int64())) for x in (bands, sketches, wholes)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), *arrays], names=["_rk", "_id", "n", "d1", "d2", "bands", "sketch", "whole"])
 
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.select("_rk", "_id", "_text").mapInArrow(run, f"_rk long, _id {kind}, n long, d1 long, d2 long, bands array<long>, sketch array<long>")
+    return rows.select("_rk", "_id", "_text").mapInArrow(run, f"_rk long, _id {kind}, n long, d1 long, d2 long, bands array<long>, sketch array<long>, whole array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -156,24 +168,23 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 def components(edges: DataFrame) -> DataFrame:
     """v, comp: the smallest vertex of each connected component of edges (a, b); every vertex of an edge has a row."""
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
     while True:
         # Large-star: the larger neighbours of each vertex are linked to the least of its neighbourhood.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = stored(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
+        large = stored(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), "large")
         # Small-star: each vertex and its smaller neighbours are linked to the least of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         now = stored(large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        at = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if at == mark:
+        # Done when every vertex is a centre or has one edge, to its centre.
+        ends = now.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select("b", F.lit(0), F.lit(1)).toDF("v", "up", "down"))
+        if ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty():
             break
-        mark = at
     stars = now.select(F.col("a").alias("v"), F.col("b").alias("comp"))
     return stars.unionByName(stars.select(F.col("comp").alias("v"), "comp").distinct())
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, star_rounds: int = 3, estimate: float = 0.55) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, star_rounds: int = 2, estimate: float = 0.55) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept, class_id (smallest id with an equal set).
 
     Two documents are linked when 100 * common >= percent * all of their distinct shingles of `width` words; a
@@ -189,7 +200,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns, of which near_dedup says kept: one of each component."""
     rows, plain = keyed_or_numbered(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct("*").alias("_row")), "_id", "_text")
-    kept = stored(_grouped(rows.select("_rk", "_id", "_text"), plain, width, percent, 3, 0.55).where("kept").select("_rk"), "kept")
+    kept = stored(_grouped(rows.select("_rk", "_id", "_text"), plain, width, percent, 2, 0.55).where("kept").select("_rk"), "kept")
     return rows.join(kept, "_rk", "left_semi").select("_row.*")
 
 
@@ -200,46 +211,59 @@ def _grouped(rows: DataFrame, plain: bool, width: int, percent: int, star_rounds
     classes = stored(some.groupBy("d1", "d2").agg(F.min("_rk").alias("rep")), "classes")
 
     banded = some.join(classes.select(F.col("rep").alias("_rk")), "_rk").select(F.col("_rk").alias("rep"), "n", "sketch", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("band")
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     banded = stored(banded.join(shared, "band"), "bands")
-    texts = stored(rows.select("_rk", "_text").join(banded.select(F.col("rep").alias("_rk")).distinct(), "_rk"), "texts")
+    # How many meet a document in its bands: the original of many copies meets more than any of them does.
+    whole = signed.select(F.col("_rk").alias("rep"), "whole", "bands")
+    labels = stored(banded.groupBy(F.col("rep").alias("v")).agg(F.sum("m").alias("met")).withColumn("comp", F.col("v")), "labels")
+    # The ids grow with the corpus: this join is a shuffle at every size.
+    texts = stored(rows.select("_rk", "_text").join(labels.select(F.col("v").alias("_rk")).hint("merge"), "_rk"), "texts")
     most = sketch_bits(estimate)
 
+    def differ(a: str, b: str, column: str, words: int) -> Column:
+        return sum((F.bit_count(F.col(f"{a}.{column}")[i].bitwiseXOR(F.col(f"{b}.{column}")[i])) for i in range(words)), F.lit(0))
+
     def alike(a: str, b: str) -> Column:
         size = (F.col(f"{a}.n") * 100 >= F.col(f"{b}.n") * percent) & (F.col(f"{b}.n") * 100 >= F.col(f"{a}.n") * percent)
-        bits = sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
-        return size & (bits <= most)
+        return size & (differ(a, b, "sketch", SKETCH_WORDS) <= most)
+
+    def close(a: str, b: str) -> Column:
+        """Whether whole-set sketches allow the similarity: at most 5 standard deviations above what the largest difference gives."""
+        bits = 64 * SET_WORDS
+        d = (F.col(f"{a}.n") + F.col(f"{b}.n")) * ((100 - percent) / (100 + percent))
+        q = F.exp(d * (-2 / bits))
+        sd = F.sqrt(F.greatest(F.lit(0.0), (1 - q * q) * (bits / 4) - d * q * q))
+        return differ(a, b, "whole", SET_WORDS) <= (1 - q) * (bits / 2) + sd * 5 + 2
 
-    labels = None
-    links = checked = None
     for turn in range(star_rounds + 1):
-        now = banded.withColumn("comp", F.col("rep")) if labels is None else banded.join(labels, banded["rep"] == labels["v"], "left").select("band", "rep", "n", "sketch", F.coalesce("comp", "rep").alias("comp"))
-        now = stored(now, "labelled")
-        order = F.xxhash64("rep", F.lit(turn))
-        open_ = now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by(F.struct("rep", "n", "sketch", "comp"), F.struct(order, "rep")).alias("at")).where("low <> high")
+        now = stored(banded.join(labels, F.col("rep") == F.col("v")).select("band", "rep", "n", "sketch", "comp", "met"), "labelled")
+        open_ = now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band")
         if turn < star_rounds:
-            centres = stored(open_.select("band", "at.*"), "centres").alias("x")
-            found = centres.join(now.alias("y"), F.col("x.band") == F.col("y.band"))
+            order = F.struct(F.lit(0) - F.col("met"), "rep") if turn == 0 else F.struct(F.xxhash64("rep", "band", F.lit(turn)), "rep")
+            part = F.lit(0) if turn == 0 else F.pmod(F.xxhash64("rep"), F.lit(CENTRES))
+            pool = now.join(open_, "band") if turn == 0 else stored(now.join(open_, "band").join(whole, "rep"), "open")
+            chosen = pool.groupBy("band", part.alias("part")).agg(F.min_by(F.struct(*[c for c in pool.columns if c not in ("band", "met", "bands")]), order).alias("at"))
+            centres = stored(chosen.select("band", "at.*"), "centres").alias("x")
+            near = alike("x", "y") if turn == 0 else alike("x", "y") & close("x", "y")
+            found = centres.join((now if turn == 0 else pool).alias("y"), F.col("x.band") == F.col("y.band")).where((F.col("x.comp") != F.col("y.comp")) & near)
         else:
-            sizes = now.join(open_.select("band"), "band").groupBy("band", "comp").agg(F.count(F.lit(1)).alias("m"))
-            largest = sizes.groupBy("band").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
-            outside = stored(now.join(largest, "band").where("comp <> main").drop("main"), "outside").alias("x")
-            found = outside.join(now.alias("y"), F.col("x.band") == F.col("y.band"))
-        found = found.where((F.col("x.comp") != F.col("y.comp")) & alike("x", "y")).select(F.col("x.rep").alias("c"), F.col("y.rep").alias("v"))
-        new = found.groupBy(F.least("c", "v").alias("a"), F.greatest("c", "v").alias("b")).agg(F.min(F.struct("c", "v")).alias("p"))
-        if checked is not None:
-            new = new.join(checked, ["a", "b"], "left_anti")
-        new = stored(new.select("a", "b", "p.c", "p.v"), "pairs")
-        if new.isEmpty():
+            still = stored(now.join(open_, "band").join(whole, "rep"), "open")
+            largest = still.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("band").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
+            outside = stored(still.join(largest, "band").where("comp <> main").drop("main"), "outside").alias("x")
+            # Of the bands that a pair shares, the first alone gives it; there one of the two is outside as well.
+            first = F.element_at(F.array_intersect("x.bands", "y.bands"), 1) == F.col("x.band")
+            found = outside.join(still.alias("y"), F.col("x.band") == F.col("y.band")).where((F.col("x.comp") != F.col("y.comp")) & alike("x", "y") & close("x", "y") & first)
+        pairs = found.groupBy(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).agg(F.min(F.struct(F.col("x.rep").alias("c"), F.col("y.rep").alias("v"))).alias("p"))
+        pairs = pairs.select("p.*")
+        pairs = stored(pairs, "pairs")
+        if pairs.isEmpty():
             continue
-        checked = new.select("a", "b") if checked is None else checked.unionByName(new.select("a", "b"))
-        fresh = stored(confirmed(new.select("c", "v"), texts, width, percent).select(F.col("c").alias("a"), F.col("v").alias("b")), "links")
-        links = fresh if links is None else links.unionByName(fresh)
-        if fresh.isEmpty():
+        links = stored(confirmed(pairs, texts, width, percent).select(F.col("c").alias("a"), F.col("v").alias("b")), "links")
+        if links.isEmpty():
             continue
-        labels = stored(components(fresh if labels is None else fresh.unionByName(labels.select(F.col("v").alias("a"), F.col("comp").alias("b")))), "labels")
-    heads = classes.withColumn("comp", F.col("rep")) if labels is None else classes.join(labels, F.col("rep") == F.col("v"), "left").select("d1", "d2", "rep", F.coalesce("comp", "rep").alias("comp"))
-    heads = stored(heads, "heads")
+        joined = components(links.unionByName(labels.where("v <> comp").select(F.col("v").alias("a"), F.col("comp").alias("b"))))
+        labels = stored(labels.drop("comp").join(joined, "v", "left").select("v", "met", F.coalesce("comp", "v").alias("comp")), "labels")
+    heads = stored(classes.join(labels, F.col("rep") == F.col("v"), "left").select("d1", "d2", "rep", F.coalesce("comp", "rep").alias("comp")), "heads")
     ids = signed.select("_rk", "_id", "n", "d1", "d2")
     out = ids.where("n > 0").join(heads, ["d1", "d2"]).select("_rk", "_id", "n", "comp", "rep").unionByName(ids.where("n = 0").select("_rk", "_id", "n", F.col("_rk").alias("comp"), F.col("_rk").alias("rep")))
     if plain:
