@@ -37,7 +37,7 @@ _RNG = np.random.default_rng(20240229)
 _TIMES = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _SALT = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-_KEPT_WORDS = 1 << 20
+_KEPT_WORDS = 1 << 17
 
 
 class _WordHash(dict):
