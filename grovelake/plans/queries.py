@@ -384,6 +384,13 @@ def commit_chain(spark, sf):
     return walk.history(rows, rows.where("n = 90"))
 
 
+@query()
+def commit_history(spark, sf):
+    """commit_chain over all commits, from the last."""
+    rows = trees.cut_lineage(fx.commits(spark, sf))
+    return walk.history(rows, rows.orderBy(F.desc("n")).limit(1))
+
+
 @query("SELECT c_name AS name, sha256('commit-' || max(o_orderkey)) AS commit_id FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_name")
 def branch_heads(spark, sf):
     o, c = fx.table(spark, sf, "orders"), fx.table(spark, sf, "customer")

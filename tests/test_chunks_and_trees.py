@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from grovelake.functions import canon
 from grovelake.operators import chunks, trees, walk
+from grovelake.plans import queries
 
 SIZES = (4 << 20, 1 << 20, 256 << 10, 64 << 10, 16 << 10)
 
@@ -138,3 +139,30 @@ def test_history_and_reachability(spark):
     have = spark.createDataFrame([("r",), ("d1",), ("d2",), ("f",)], "object_id string")
     assert {r.object_id for r in walk.fully_stored(have, refs).collect()} == {"d1", "f"}
     assert {r.object_id for r in walk.reachable(have.where("object_id = 'd1'"), refs).collect()} == {"d1", "f"}
+
+
+def test_history_contracts(spark):
+    rng = random.Random(8)
+    parents = {f"c{i}": sorted({f"c{i - 1}", *([f"c{i - 5}"] if i % 10 == 0 else []), *([f"c{rng.randrange(i)}"] if rng.random() < 0.1 else [])}) for i in range(1, 200)}
+    parents |= {"other": ["c3"], "c0": []}
+    for starts in (["c199"], ["c120", "other"]):
+        want, todo = {x: 0 for x in starts}, list(starts)
+        for x in todo:
+            for y in parents[x]:
+                if y not in want:
+                    want[y] = want[x] + 1
+                    todo.append(y)
+        commits = spark.createDataFrame(list(parents.items()), "commit_id string, parents array<string>")
+        rows = walk.history(commits, spark.createDataFrame([(x,) for x in starts], "commit_id string"), core=60).collect()
+        assert {r.commit_id: r.distance for r in rows} == want and len(rows) == len(want)
+
+
+def test_commit_history_is_whole(spark):
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/orders.parquet").count()
+    far = {n: 0}
+    for i in range(n, 1, -1):
+        for j in (i - 1, i - 5) if i % 10 == 0 else (i - 1,):
+            far[j] = min(far.get(j, n), far[i] + 1)
+    want = {hashlib.sha256(f"commit-{i}".encode()).hexdigest(): d for i, d in far.items()}
+    assert {r.commit_id: r.distance for r in queries.QUERIES["commit_history"](spark, sf).collect()} == want
