@@ -213,11 +213,7 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", sh
                 for node in reversed(nodes):
                     if node.tag in ("article", "main", "body", "html", "head") or any(isinstance(p, Node) and id(p) in whole for p in node.parts):
                         whole.add(id(node))
-                inside: set[int] = set()
-                for node in nodes:  # what an article holds is left to its own hash only if it is framed apart: sections and divs
-                    if id(node) in whole and node.tag in ("article", "main"):
-                        inside.update(id(x) for x in walk(node) if x.tag not in ("div", "section", "aside", "ul", "table"))
-                own = {_signed(n.hash) for n in nodes if n.chars and id(n) not in whole and id(n) not in inside}
+                own = {_signed(n.hash) for n in nodes if n.chars and id(n) not in whole}
                 own = own | {0}  # stands for the page itself
                 hosts += [host] * len(own)
                 hashes += own

@@ -46,3 +46,10 @@ def test_template_subtrees_of_a_host_go(spark):
     assert sorted(r.text for r in got if r.page_id is None) == ["c", "c"] and all(r.n_chars == len(r.text) for r in got)
     assert [r.text for r in got if r.page_id in (100, 101)] == ["", ""]
     assert extract(df.limit(0)).count() == 0
+
+
+def test_template_inside_an_article_goes(spark):
+    notices = "<p>Line of the site</p><h2>Head of the site</h2><dl><dd>List of the site</dd></dl><blockquote>Quote of the site</blockquote>"
+    rows = [(i, "https://a.example/x", f"<main><p>own {i}</p>{notices}<p>end {i}</p></main>") for i in range(20)]
+    got = extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"own {i}\nend {i}" for i in range(20)}
