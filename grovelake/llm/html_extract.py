@@ -33,6 +33,8 @@ NO_CLASS = re.compile(
     r"(?:^|[\s_-])(?:ads?|ad(?:box|banner|slot|unit|space|container|sbygoogle)|advert(?:s|isement|ising)?|banner|sponsor(?:ed)?|promo(?:tion)?|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|side-?bar|footer|header|masthead|cookies?|consent|gdpr|notices?|alerts?|announcement|disclaimer|toast|popup|modal|newsletter|subscribe|signup|share|sharing|social|related|recommended|comments?|disqus|respond|reply|replies|pagination|pager|widget|toolbar|skip-?link|login|search)(?:$|[\s_-])",
     re.I,
 )
+#: Characters of text from which on a subtree is told from a phrase that articles have in common.
+LEAST_CHARS = 20
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<end2>/)?(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)>|<[!?/][^>]*+>", re.S
 )
@@ -195,7 +197,10 @@ def host_of(url: Column) -> Column:
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", share: float = 0.3, least_pages: int = 10) -> DataFrame:
-    """host, hashes: the subtrees that stand on least_pages pages of a host and on a share of all its pages.
+    """host, hashes: the subtrees that stand on least_pages pages of a host, however many it has.
+
+    On a host of fewer than 2 * least_pages pages, half of them are enough, but 3 at least. A subtree with less than LEAST_CHARS
+    characters may be a phrase that articles have in common: it must stand on least_pages pages and a share of all.
 
     Counted by distinct pages, (host, hash) pre-aggregated within map tasks, so a host with a third of all pages is spread by
     its hashes. A subtree that holds an article, main or body is no template: those pages are copies, not a frame.
@@ -204,7 +209,7 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", sh
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, hashes = [], []
+            hosts, hashes, chars = [], [], []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 root = parse(page or "")
                 own = set()
@@ -213,15 +218,19 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", sh
                 for node in reversed(nodes):
                     if node.tag in ("article", "main", "body", "html", "head") or any(isinstance(p, Node) and id(p) in whole for p in node.parts):
                         whole.add(id(node))
-                own = {_signed(n.hash) for n in nodes if n.chars and id(n) not in whole}
-                own = own | {0}  # stands for the page itself
+                own = {_signed(n.hash): n.chars for n in nodes if n.chars and id(n) not in whole}
+                own[0] = 0  # stands for the page itself
                 hosts += [host] * len(own)
                 hashes += own
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["host", "hash"])
+                chars += own.values()
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(chars, pa.int64())], names=["host", "hash", "chars"])
 
-    counts = stored(hosted.mapInArrow(run, "host string, hash bigint").groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= least_pages) | (F.col("hash") == 0)), "subtrees")
+    counts = hosted.mapInArrow(run, "host string, hash bigint, chars bigint").groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"), F.max("chars").alias("chars"))
+    counts = stored(counts.where((F.col("n") >= min(3, least_pages)) | (F.col("hash") == 0)), "subtrees")
     total = counts.where("hash = 0").select("host", F.col("n").alias("total"))
-    many = counts.where("hash <> 0").join(total, "host").where(F.col("n") >= F.col("total") * share)
+    enough = F.least(F.lit(least_pages), F.greatest(F.lit(3), F.col("total") / 2))
+    common = (F.col("n") >= least_pages) & (F.col("n") >= F.col("total") * share)
+    many = counts.where("hash <> 0").join(total, "host").where(common | (F.col("chars") >= LEAST_CHARS) & (F.col("n") >= enough))
     return many.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
 
 
@@ -231,19 +240,21 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     A null or empty page has an empty text. A page without a url or a host belongs to the host ''. Repeated rows count as
     pages and stay. An empty table gives an empty result; other columns are ignored.
     """
-    # At most 1 / share such subtrees can cover disjoint pages, so a host's list is short; hosts come by a shuffle join.
     found = stored(templates(pages, url_col, html_col, share, least_pages), "templates")
     given = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), host_of(F.col(url_col)).alias("host"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, frozenset[int]] = {}  # a host's list is read once a task
         for batch in batches:
             texts = []
-            for page, hashes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for i, (page, host) in enumerate(zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                if host not in known:
+                    known[host] = frozenset(batch.column(3)[i].as_py() or ())
                 root = parse(page or "")
                 hashed(root)
-                texts.append(main_text(root, frozenset(hashes or ())))
+                texts.append(main_text(root, known[host]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["_id", "_url", "text"])
 
-    joined = given.join(found, "host", "left").select("_id", "_url", "_html", "hashes")
+    joined = given.join(found, "host", "left").select("_id", "_url", "_html", "hashes", "host")
     out = joined.mapInArrow(run, given.select("_id", "_url", F.lit("").alias("text")).schema)
     return out.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

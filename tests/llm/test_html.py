@@ -53,3 +53,12 @@ def test_template_inside_an_article_goes(spark):
     rows = [(i, "https://a.example/x", f"<main><p>own {i}</p>{notices}<p>end {i}</p></main>") for i in range(20)]
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text for r in got} == {i: f"own {i}\nend {i}" for i in range(20)}
+
+
+def test_templates_at_every_host_size(spark):
+    notice = lambda k: f"<p>Notice number {k} of this large site</p>"
+    rows = [(i, "https://big.example/x", f"<main><p>own words {i}</p>{notice(i % 12)}<h2>Intro</h2></main>" if i % 7 == 0 else f"<main><p>own words {i}</p>{notice(i % 12)}</main>") for i in range(240)]
+    rows += [(1000 + i, "https://small.example/x", f"<main><p>own words {i}</p>{notice(0)}</main>") for i in range(4)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == (f"own words {i}\nIntro" if i % 7 == 0 else f"own words {i}") for i in range(240))
+    assert all(got[1000 + i] == f"own words {i}" for i in range(4))
