@@ -33,6 +33,8 @@ NO_CLASS = re.compile(
     r"(?:^|[\s_-])(?:ads?|ad(?:box|banner|slot|unit|space|container|sbygoogle)|advert(?:s|isement|ising)?|banner|sponsor(?:ed)?|promo(?:tion)?|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|side-?bar|footer|header|masthead|cookies?|consent|gdpr|notices?|alerts?|announcement|disclaimer|toast|popup|modal|newsletter|subscribe|signup|share|sharing|social|related|recommended|comments?|disqus|respond|reply|replies|pagination|pager|widget|toolbar|skip-?link|login|search)(?:$|[\s_-])",
     re.I,
 )
+#: Elements that are told by a class or id inside an article.
+CONTAINERS = frozenset("article section div ul ol dl table figure ins details center".split())
 #: Characters of text from which on a subtree is told from a phrase that articles have in common.
 LEAST_CHARS = 20
 TOKEN = re.compile(
@@ -133,15 +135,20 @@ def _signed(digest: bytes) -> int:
     return int.from_bytes(digest, "big", signed=True)
 
 
-def is_chrome(node: Node) -> bool:
-    """Whether an element holds no main text by its tag, role, class or id."""
-    if node.tag in NO_TEXT:
+def is_chrome(node: Node, inside: bool = False) -> bool:
+    """Whether an element holds no main text by its tag, role, class or id.
+
+    Inside an article or main, headers are text, and only whole names of class or id count, on containers alone.
+    """
+    if node.tag in NO_TEXT and not (inside and node.tag == "header"):
         return True
     if node.attrs.strip() and node.tag not in ("html", "body", "main"):
         for name, a, b, c in ATTR.findall(node.attrs):
             value = CAMEL.sub("-", html.unescape(a or b or c))
             if (name := name.lower()) in ("class", "id"):
-                if NO_CLASS.search(value):
+                if not inside and NO_CLASS.search(value):
+                    return True
+                if inside and node.tag in CONTAINERS and any(NO_CLASS.fullmatch(x) and x.lower() not in ("header", "masthead") for x in html.unescape(a or b or c).split()):
                     return True
             elif name == "role" and value.lower() in NO_ROLE or name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
@@ -151,7 +158,7 @@ def is_chrome(node: Node) -> bool:
 def main_text(root: Node, template: frozenset[int] = frozenset()) -> str:
     """The blocks of the article, one a line. hashed() has been called on root."""
     # A page's own article or main element bounds the main text, if it has one that isn't template.
-    dropped = lambda n: _signed(n.hash) in template or is_chrome(n)
+    dropped = lambda n, inside=False: _signed(n.hash) in template or is_chrome(n, inside)
     tops, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -177,7 +184,7 @@ def main_text(root: Node, template: frozenset[int] = frozenset()) -> str:
                 cut()
             elif isinstance(p, str):
                 now.append(html.unescape(p))
-            elif p is not top and dropped(p):
+            elif p is not top and dropped(p, top is not root):
                 if p.tag in BLOCK:
                     cut()
             elif p.tag == "br":

@@ -62,3 +62,10 @@ def test_templates_at_every_host_size(spark):
     got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == (f"own words {i}\nIntro" if i % 7 == 0 else f"own words {i}") for i in range(240))
     assert all(got[1000 + i] == f"own words {i}" for i in range(4))
+
+
+def test_article_text_is_not_told_by_names():
+    page = """<article class="post"><header><h1>Title</h1></header><div class="article-header"><h2 id="related-work">Work</h2></div><h2 id="search-algorithms">Search</h2>
+    <section id="social-policy"><p class="notice">Policy</p></section><div class="share">no</div><div id="comments">no</div></article>"""
+    assert text_of(page) == "Title\nWork\nSearch\nPolicy"
+    assert text_of('<div class="article-header">no</div><p>yes</p>') == "yes"
