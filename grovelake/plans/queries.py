@@ -357,6 +357,13 @@ def local_chunk_candidates(spark, sf):
     return caches.local_candidates(rows.select("chunk_id"), rows.select("chunk_id", "path", "offset", F.col("size").alias("length")), 2)
 
 
+@query()
+def local_chunk_places(spark, sf):
+    """local_chunk_candidates with the operator's own limit, that of the reference."""
+    rows = trees.cut_lineage(fx.file_chunks(spark, sf))
+    return caches.local_candidates(rows.select("chunk_id"), rows.select("chunk_id", "path", "offset", F.col("size").alias("length")))
+
+
 @query("""WITH p AS (SELECT 'k' || o_custkey AS key, arg_max(o_orderstatus, o_orderkey) AS s, max(o_orderkey) AS v FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1)
     SELECT coalesce(b.key, p.key) AS key, CASE WHEN p.key IS NULL THEN b.value ELSE 'v' || p.v END AS value
     FROM (SELECT 'k' || c_custkey AS key, c_name AS value FROM customer WHERE c_custkey % 3 <> 0) b FULL JOIN p ON b.key = p.key WHERE p.s IS NULL OR p.s <> 'F'""")

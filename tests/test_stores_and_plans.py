@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from grovelake.functions import canon, text
 from grovelake.operators import caches, reconcile, sync, trees
+from grovelake.plans import queries
 from grovelake.sources import file_store, ignore
 from grovelake.sources.repository import Repository
 
@@ -142,3 +143,10 @@ def test_functions(spark):
     row = spark.range(1).select(text.reverse_timestamp(F.lit(5).cast("long")).alias("r"), text.executable_mode(F.lit(0o644)).alias("m"), text.executable_mode(F.lit(0o744)).alias("x"), text.overlaps(F.lit("a"), F.lit("a/b")).alias("o"), text.overlaps(F.lit("a"), F.lit("ab")).alias("p")).first()
     assert (row.r, row.m, row.x, row.o, row.p) == ("18446744073709551610", False, True, True, False)
     assert canon.MAX_DIRECTORY == 256
+
+
+def test_local_chunk_places_of_many_copies(spark, tmp_path):
+    docs = [(i, "the same text" if i < 300 else f"text {i % 5}", "en", "web") for i in range(325)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.QUERIES["local_chunk_places"](spark, str(tmp_path)).collect()
+    assert sorted(r.nth for r in rows) == sorted([*range(1, 257), *[n for n in range(1, 6) for _ in range(5)]])
