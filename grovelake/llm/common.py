@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,3 +84,25 @@ def keyed_or_numbered(df: DataFrame, id_col: str, text_col: str, to: str = "_rk"
 
 def keyed(df: DataFrame, id_col: str, text_col: str, to: str = "_rk") -> DataFrame:
     return keyed_or_numbered(df, id_col, text_col, to)[0]
+
+
+#: Bytes of text and rows that a Python worker turns into objects at a time.
+SLICE_BYTES, SLICE_ROWS = 4 << 20, 2048
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: int | str) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices of at most SLICE_BYTES of the column and SLICE_ROWS rows; a longer value stands alone.
+
+    A batch of long texts is many times its size as Python objects, so a worker holds those of one slice only.
+    """
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        start = 0
+        while start < len(sizes):
+            before = ends[start] - sizes[start]
+            stop = min(max(int(np.searchsorted(ends, before + SLICE_BYTES, "right")), start + 1), start + SLICE_ROWS)
+            yield batch.slice(start, stop - start)
+            start = stop
+        del batch
+        pa.default_memory_pool().release_unused()

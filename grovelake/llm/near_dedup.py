@@ -6,12 +6,15 @@ samples cancel in the XOR of two sketches, so its population count tells how man
 do; candidates below the estimate are dropped before any text is fetched, and the rest are confirmed on full sets.
 
 Groups may be large, so pairs within a band are never listed:
-1. Documents with equal sets (by a 128-bit digest of the set) form a class; one stands for it from here on.
+1. Documents of the same words in the same order (by a 128-bit digest of the whole sequence) form a class; one stands for it
+   from here on. Equal sets of other orders share all bands and are confirmed like any other pair.
 2. Star rounds: in each band whose documents aren't yet in one component, all are compared with a centre: first the document
    that meets most others in its bands, as the original of many copies does, then a few others; what links joins components.
-3. In bands that still hold several components, the documents outside the largest are compared with the others. The
-   comparison of sketches is part of the join's condition, and Odd sketches of the whole sets, precise at the
-   threshold, are compared as well, so that little but links comes out.
+3. In bands that still hold several components, the documents outside the largest are compared with the others. Both sides of
+   a large band are dealt out in parts, so that it is no single task's.
+The comparison of sketches is part of the joins' conditions. Odd sketches of the whole sets are compared as well: they can't
+differ in more bits than the sets do in shingles, so a pair whose sketches differ in more than the similarity allows is
+ruled out for certain, and little but links comes out.
 Components are merged by alternating large-star and small-star steps over stored tables.
 """
 
@@ -26,18 +29,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_or_numbered, stored
+from .common import keyed_or_numbered, sliced, stored
 
 BANDS, ROWS, SKETCH_WORDS = 24, 4, 4
 #: Centres of a band in the star rounds after the first.
 CENTRES = 8
 #: 64-bit words of the Odd sketch of a whole set, which tells pairs near the threshold apart in the last round.
 SET_WORDS = 16
+#: Differences from here on fill that sketch and rule nothing out.
+MOST_DIFFERENCE = 3 * 64 * SET_WORDS
+#: Documents of a band that the last round compares with others in one task.
+PART = 2048
 _RNG = np.random.default_rng(20240229)
 _TIMES = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _SALT = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-_KEPT_WORDS = 1 << 17
+_KEPT_WORDS = 1 << 16
 
 
 class _WordHash(dict):
@@ -108,19 +115,36 @@ def sketch_bits(estimate: float) -> int:
     return int(n / 2 * (1 - np.exp(4 * k / n * (estimate - 1))))
 
 
+def set_bits() -> list[int]:
+    """For each difference of two sets up to MOST_DIFFERENCE, the most bits in which their sketches may differ.
+
+    Bits can't exceed the difference; for sets that fill the sketch, nor 5 standard deviations above the mean.
+    """
+    bits = 64 * SET_WORDS
+    d = np.arange(MOST_DIFFERENCE + 1)
+    q = np.exp(d * (-2 / bits))
+    spread = np.sqrt(np.maximum(0, (1 - q * q) * (bits / 4) - d * q * q))
+    return np.minimum(d, (1 - q) * (bits / 2) + spread * 5 + 2).astype(int).tolist()[:-1] + [bits]
+
+
+def words(column: str, size: int) -> list[Column]:
+    return [F.col(column)[i].alias(f"{column}{i}") for i in range(size)]
+
+
 def signatures(rows: DataFrame, width: int) -> DataFrame:
-    """_rk, _id, n, d1, d2 (digest of the set), bands, sketch, whole of each row of _rk, _id, _text."""
+    """_rk, _id, n, d1, d2 (digest of the sequence of words), bands, sketch, whole of each row of _rk, _id, _text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHash()
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in sliced(batches, 2):
                 sizes, digests, bands, sketches, wholes = [], [], [], [], []
                 for text in batch.column(2).to_pylist():
-                    h = shingle_hashes(words_of(text), width, known)
+                    words = words_of(text)
+                    h = shingle_hashes(words, width, known)
                     sizes.append(len(h))
                     wholes.append(set_sketch(h))
-                    digests.append(np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=16).digest(), np.int64))
+                    digests.append(np.frombuffer(hashlib.blake2b(b" ".join(words), digest_size=16).digest(), np.int64))
                     if len(h):
                         least = samples(h)
                         bands.append(band_keys(least))
@@ -142,14 +166,14 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     The pairs of a c are dealt out in runs of about 256, so that a centre of many is no single task's; a task reads
     the centre's text of a run first, then one text after another.
     """
-    runs = pairs.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / 256).alias("_runs"))
-    dealt = pairs.join(runs, "c").withColumn("run", F.pmod(F.xxhash64("v"), F.col("_runs"))).drop("_runs")
+    runs = stored(pairs.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / 256).alias("_runs")).where("_runs > 1"), "runs")
+    dealt = pairs.join(runs, "c", "left").withColumn("run", F.pmod(F.xxhash64("v"), F.coalesce("_runs", F.lit(1)))).drop("_runs")
     wanted = dealt.select("c", "run", F.lit(1).alias("role"), F.col("v").alias("_rk")).unionByName(dealt.select("c", "run").distinct().select("c", "run", F.lit(0).alias("role"), F.col("c").alias("_rk")))
     read = wanted.join(texts, "_rk").repartition("c", "run").sortWithinPartitions("c", "run", "role")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre: set = set()
-        for batch in batches:
+        for batch in sliced(batches, "_text"):
             found: tuple[list, list] = ([], [])
             for rk, c, role, text in zip(*(batch.column(k).to_pylist() for k in ("_rk", "c", "role", "_text")), strict=True):
                 own = shingle_set(words_of(text), width)
@@ -185,7 +209,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, star_rounds: int = 2, estimate: float = 0.55) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, kept, class_id (smallest id with an equal set).
+    """One row per input row: id, n_shingles, component_id, kept, class_id (smallest id with the same words in the same order).
 
     Two documents are linked when 100 * common >= percent * all of their distinct shingles of `width` words; a
     text with fewer words is one shingle. Null and empty texts and texts of white space have no shingle and are linked with nothing.
@@ -210,49 +234,45 @@ def _grouped(rows: DataFrame, plain: bool, width: int, percent: int, star_rounds
     some = signed.where("n > 0")
     classes = stored(some.groupBy("d1", "d2").agg(F.min("_rk").alias("rep")), "classes")
 
-    banded = some.join(classes.select(F.col("rep").alias("_rk")), "_rk").select(F.col("_rk").alias("rep"), "n", "sketch", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    banded = some.join(classes.select(F.col("rep").alias("_rk")), "_rk").select(F.col("_rk").alias("rep"), "n", *words("sketch", SKETCH_WORDS), F.explode("bands").alias("band"))
+    shared = stored(banded.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "shared")
     banded = stored(banded.join(shared, "band"), "bands")
     # How many meet a document in its bands: the original of many copies meets more than any of them does.
-    whole = signed.select(F.col("_rk").alias("rep"), "whole", "bands")
+    whole = signed.select(F.col("_rk").alias("rep"), *words("whole", SET_WORDS), "bands")
     labels = stored(banded.groupBy(F.col("rep").alias("v")).agg(F.sum("m").alias("met")).withColumn("comp", F.col("v")), "labels")
     # The ids grow with the corpus: this join is a shuffle at every size.
     texts = stored(rows.select("_rk", "_text").join(labels.select(F.col("v").alias("_rk")).hint("merge"), "_rk"), "texts")
     most = sketch_bits(estimate)
+    bounds = F.split(F.lit(" ".join(map(str, set_bits()))), " ").cast("array<int>")
 
-    def differ(a: str, b: str, column: str, words: int) -> Column:
-        return sum((F.bit_count(F.col(f"{a}.{column}")[i].bitwiseXOR(F.col(f"{b}.{column}")[i])) for i in range(words)), F.lit(0))
+    def differ(a: str, b: str, column: str, size: int) -> Column:
+        return sum((F.bit_count(F.col(f"{a}.{column}{i}").bitwiseXOR(F.col(f"{b}.{column}{i}"))) for i in range(size)), F.lit(0))
 
     def alike(a: str, b: str) -> Column:
-        size = (F.col(f"{a}.n") * 100 >= F.col(f"{b}.n") * percent) & (F.col(f"{b}.n") * 100 >= F.col(f"{a}.n") * percent)
-        return size & (differ(a, b, "sketch", SKETCH_WORDS) <= most)
-
-    def close(a: str, b: str) -> Column:
-        """Whether whole-set sketches allow the similarity: at most 5 standard deviations above what the largest difference gives."""
-        bits = 64 * SET_WORDS
-        d = (F.col(f"{a}.n") + F.col(f"{b}.n")) * ((100 - percent) / (100 + percent))
-        q = F.exp(d * (-2 / bits))
-        sd = F.sqrt(F.greatest(F.lit(0.0), (1 - q * q) * (bits / 4) - d * q * q))
-        return differ(a, b, "whole", SET_WORDS) <= (1 - q) * (bits / 2) + sd * 5 + 2
+        """Whether sizes and both kinds of sketches allow the similarity."""
+        x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
+        size = (x * 100 >= y * percent) & (y * 100 >= x * percent)
+        allowed = F.get(bounds, F.least(F.floor((x + y) * (100 - percent) / (100 + percent)), F.lit(MOST_DIFFERENCE)).cast("int"))
+        return size & (differ(a, b, "sketch", SKETCH_WORDS) <= most) & (differ(a, b, "whole", SET_WORDS) <= allowed)
 
     for turn in range(star_rounds + 1):
-        now = stored(banded.join(labels, F.col("rep") == F.col("v")).select("band", "rep", "n", "sketch", "comp", "met"), "labelled")
-        open_ = now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band")
+        now = stored(banded.join(labels, F.col("rep") == F.col("v")).drop("v"), "labelled")
+        open_ = stored(now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band"), "several")
+        pool = stored(now.join(open_, "band").join(whole, "rep"), "open")
         if turn < star_rounds:
             order = F.struct(F.lit(0) - F.col("met"), "rep") if turn == 0 else F.struct(F.xxhash64("rep", "band", F.lit(turn)), "rep")
             part = F.lit(0) if turn == 0 else F.pmod(F.xxhash64("rep"), F.lit(CENTRES))
-            pool = now.join(open_, "band") if turn == 0 else stored(now.join(open_, "band").join(whole, "rep"), "open")
-            chosen = pool.groupBy("band", part.alias("part")).agg(F.min_by(F.struct(*[c for c in pool.columns if c not in ("band", "met", "bands")]), order).alias("at"))
+            chosen = pool.groupBy("band", part.alias("part")).agg(F.min_by(F.struct(*[c for c in pool.columns if c not in ("band", "met", "m", "bands")]), order).alias("at"))
             centres = stored(chosen.select("band", "at.*"), "centres").alias("x")
-            near = alike("x", "y") if turn == 0 else alike("x", "y") & close("x", "y")
-            found = centres.join((now if turn == 0 else pool).alias("y"), F.col("x.band") == F.col("y.band")).where((F.col("x.comp") != F.col("y.comp")) & near)
+            found = centres.join(pool.alias("y"), F.col("x.band") == F.col("y.band")).where((F.col("x.comp") != F.col("y.comp")) & alike("x", "y"))
         else:
-            still = stored(now.join(open_, "band").join(whole, "rep"), "open")
-            largest = still.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("band").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
-            outside = stored(still.join(largest, "band").where("comp <> main").drop("main"), "outside").alias("x")
+            largest = stored(pool.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("band").agg(F.max_by("comp", F.struct("k", "comp")).alias("main")), "largest")
+            parts = F.ceil(F.col("m") / PART).cast("int")
+            outside = stored(pool.join(largest, "band").where("comp <> main").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))), "outside").alias("x")
+            dealt = pool.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).alias("y")
             # Of the bands that a pair shares, the first alone gives it; there one of the two is outside as well.
             first = F.element_at(F.array_intersect("x.bands", "y.bands"), 1) == F.col("x.band")
-            found = outside.join(still.alias("y"), F.col("x.band") == F.col("y.band")).where((F.col("x.comp") != F.col("y.comp")) & alike("x", "y") & close("x", "y") & first)
+            found = outside.join(dealt.hint("merge"), (F.col("x.band") == F.col("y.band")) & (F.col("x.part") == F.col("y.part"))).where((F.col("x.comp") != F.col("y.comp")) & alike("x", "y") & first)
         pairs = found.groupBy(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).agg(F.min(F.struct(F.col("x.rep").alias("c"), F.col("y.rep").alias("v"))).alias("p"))
         pairs = pairs.select("p.*")
         pairs = stored(pairs, "pairs")
