@@ -1,16 +1,22 @@
-"""Byte-level BPE encoding and decoding by merge replay over blocks of the corpus.
+"""Byte-level BPE encoding and decoding by merge replay over the corpus.
 
-The distinct words of a block of documents are laid out as one sequence of byte tokens with links between neighbours.
-An inverted index lists, for each merge, the positions of the token pairs that it joins. The merges are replayed in rank
-order over the whole block at once: each visits only its own positions and re-indexes only the neighbours that it has
-touched. Words don't interact, so a block gives the ids that any other cut of the corpus would, and no vocabulary
-of the corpus has to fit anywhere; encoded words are kept between the blocks of a task, up to a bound.
+1. Texts are cut into words by the tokenizer's pattern. A block of texts keeps its distinct words once, as a dictionary; each
+   text becomes the places of its words in it.
+2. The dictionaries of all blocks are dealt out and sorted by word, so that every distinct word of the corpus is encoded
+   once: a slice of the corpus's vocabulary is laid out as one sequence of byte tokens with links between neighbours; an
+   inverted index lists, for each pair of tokens, its positions; all merges are replayed in rank order over the whole
+   slice, each visiting only the positions of its pairs and re-indexing only the neighbours that it has touched.
+3. The ids of a block's words come back to its texts, and each text's places are replaced by ids.
+
+Words don't interact, so slices give the ids that any other cut of the vocabulary would. Texts aren't shuffled, only
+their places. No vocabulary of the corpus has to fit anywhere: a task holds a slice of it, or a block's dictionary.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import islice
@@ -18,30 +24,33 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import sliced, stored
 
-#: Characters of text in a block, words encoded at a time in a longer text, and words kept between blocks.
-BLOCK_CHARS, CHUNK_WORDS, KEPT_WORDS = 1 << 20, 1 << 18, 1 << 19
+#: Characters of text in a block (a longer text is a block), words or ids handled at a time in a text, rows of dictionaries in
+#: a slice, and merged pairs that are remembered between slices.
+BLOCK_CHARS, CHUNK, SLICE, KEPT_PAIRS = 1 << 22, 1 << 18, 1 << 16, 1 << 17
 
 
 class Vocabulary:
     """The tokens of a rank file (base64 token and rank on each line); a token's rank is its id."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.tokens = {r: t for t, r in self.ranks.items()}
-        self.find = regex.compile(pattern)
         self.single = [self.ranks[bytes([b])] for b in range(256)]
         self.joined: dict[tuple[int, int], int] = {}
-        self.words: dict[str, bytes] = {}
 
     def merged(self, a: int, b: int) -> int:
         """The token that the pair a, b merges into, or -1."""
         got = self.joined.get((a, b))
         if got is None:
-            if len(self.joined) > 1 << 20:
+            if len(self.joined) > KEPT_PAIRS:
                 self.joined.clear()
             got = self.joined[a, b] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
         return got
@@ -68,26 +77,32 @@ class Vocabulary:
             token.append(-1)  # ends a word
         after = list(range(1, len(token) + 1))
         before = list(range(-1, len(token) - 1))
-        index: dict[int, list[int]] = {}
+        index: dict[tuple[int, int], list[int]] = {}
+        pairs: dict[int, list[tuple[int, int]]] = {}  # those of each rank: several may join into the same bytes
         waiting: list[int] = []
         merged = self.merged
 
         def enter(at: int, a: int, b: int) -> int:
             if a < 0 or b < 0 or (rank := merged(a, b)) < 0:
                 return -1
-            if (places := index.get(rank)) is None:
-                index[rank] = [at]
-                heapq.heappush(waiting, rank)
-            else:
+            if (places := index.get((a, b))) is not None:
                 places.append(at)
+                return rank
+            index[a, b] = [at]
+            if rank in pairs:
+                pairs[rank].append((a, b))
+            else:
+                pairs[rank] = [(a, b)]
+                heapq.heappush(waiting, rank)
             return rank
 
         for at in range(len(token) - 1):
             enter(at, token[at], token[at + 1])
-        odd: set[int] = set()  # positions in words where a merge opened one of a lower rank: encoded by the definition
+        odd: set[int] = set()  # positions where a merge opened one of a lower rank: their words are encoded by the definition
         while waiting:
             rank = heapq.heappop(waiting)
-            for at in sorted(index.pop(rank)):
+            # The leftmost comes first, whichever pair it is of.
+            for at in sorted(at for pair in pairs.pop(rank) for at in index.pop(pair)):
                 a = token[at]
                 if a < 0:
                     continue
@@ -104,93 +119,177 @@ class Vocabulary:
                     odd.add(at)
                 if beyond < len(token) and 0 <= enter(at, rank, token[beyond]) < rank:
                     odd.add(at)
-        out, ends = [], [*starts[1:], len(token)]
-        for word, start, end in zip(words, starts, ends, strict=True):
-            out.append([t for t in token[start:end] if t >= 0])
-            if odd and any(start <= x < end for x in odd):
-                out[-1] = self.one_by_one(word)
-        return out
+        again = set((np.searchsorted(starts, sorted(odd), "right") - 1).tolist()) if odd else ()
+        ends = [*starts[1:], len(token)]
+        return [self.one_by_one(word) if k in again else [t for t in token[start:end] if t >= 0] for k, (word, start, end) in enumerate(zip(words, starts, ends, strict=True))]
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Encode those words that are not yet known."""
-        new = [w for w in {*words} if w not in self.words]
-        rest = []
-        for w in new:
+    def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
+        """The ids of each distinct word, as little-endian unsigned 32-bit integers. A word that is a token is that token."""
+        out, rest = {}, {}
+        for w in {*words}:
             whole = self.ranks.get(raw := w.encode())
             if whole is None:
-                rest.append((w, raw))
+                rest[w] = raw
             else:
-                self.words[w] = whole.to_bytes(4, "little")
-        for (w, _), ids in zip(rest, self.replay([raw for _, raw in rest]), strict=True):
-            self.words[w] = np.array(ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        for block in blocks(texts):
-            if len(self.words) > KEPT_WORDS:
-                self.words.clear()
-            if len(block) == 1:
-                found, parts = self.find.finditer(block[0]), []
-                while chunk := [m[0] for m in islice(found, CHUNK_WORDS)]:
-                    self.learn(chunk)
-                    parts.append(b"".join(map(self.words.__getitem__, chunk)))
-                out.append(b"".join(parts))
-            else:
-                cut = [self.find.findall(t) for t in block]
-                self.learn(w for words in cut for w in words)
-                out += [b"".join(map(self.words.__getitem__, words)) for words in cut]
+                out[w] = whole.to_bytes(4, "little")
+        for w, ids in zip(rest, self.replay([*rest.values()]), strict=True):
+            out[w] = np.array(ids, "<u4").tobytes()
         return out
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        found = np.frombuffer(ids, "<u4")
+        return b"".join(b"".join(map(self.tokens.__getitem__, found[i : i + CHUNK].tolist())) for i in range(0, len(found), CHUNK))
+
 
+@cache
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
 
-def blocks(texts: list[str]) -> Iterator[list[str]]:
-    """Runs of texts of up to BLOCK_CHARS characters together; a longer text stands alone."""
-    block, chars = [], 0
-    for t in texts:
-        if block and chars + len(t) > BLOCK_CHARS:
-            yield block
-            block, chars = [], 0
-        block.append(t)
-        chars += len(t)
-    if block:
-        yield block
 
+class Block:
+    """Texts as places in the list of their distinct words."""
 
-@cache
-def vocabulary(path: str, pattern: str) -> Vocabulary:
-    return Vocabulary(path, pattern)
+    def __init__(self, pattern: regex.Pattern):
+        self.find, self.chars = pattern, 0
+        self.words: defaultdict[str, int] = defaultdict()
+        self.words.default_factory = self.words.__len__
+        self.texts: list[np.ndarray] = []
+
+    def add(self, text: str) -> None:
+        self.chars += len(text)
+        if len(text) <= BLOCK_CHARS:
+            parts = [self.find.findall(text)]
+        else:
+            found = self.find.finditer(text)
+            parts = iter(lambda: [m[0] for m in islice(found, CHUNK)], [])
+        places = [np.array([self.words[w] for w in part], np.uint32) for part in parts]
+        self.texts.append(np.concatenate(places) if places else np.empty(0, np.uint32))
+
+
+def place_type(words: int) -> str:
+    """Of the places in a dictionary, as stored."""
+    return "<u2" if words <= 1 << 16 else "<u4"
+
+
+def cut(docs: DataFrame, pattern: str) -> DataFrame:
+    """block, role, ix, word, data, _row: the words of each block (role 0, at ix) and its texts (role 1: data are the places of
+    their words), of docs: _row, _text."""
+    row_type = docs.schema["_row"].dataType
+    schema = T.StructType().add("block", "long").add("role", "integer").add("ix", "integer").add("word", "string").add("data", "binary").add("_row", row_type)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = regex.compile(pattern)
+        number = TaskContext.get().partitionId() << 32
+        block, rows = Block(find), []
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            n, k = len(block.words), len(block.texts)
+            for i in range(0, n, SLICE):
+                words = [*islice(block.words, i, i + SLICE)]
+                m = len(words)
+                nulls = pa.nulls(m, rows[0].type)
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(number, pa.int64()), m), pa.repeat(pa.scalar(0, pa.int32()), m), pa.array(range(i, i + m), pa.int32()), pa.array(words, pa.string()), pa.nulls(m, pa.binary()), nulls], names=schema.names)
+            kind = place_type(n)
+            data = pa.array([x.astype(kind).tobytes() for x in block.texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(number, pa.int64()), k), pa.repeat(pa.scalar(1, pa.int32()), k), pa.repeat(pa.scalar(0, pa.int32()), k), pa.nulls(k, pa.string()), data, pa.concat_arrays(rows)], names=schema.names)
+
+        for batch in sliced(batches, "_text"):
+            start = 0
+            for i, text in enumerate(batch.column("_text").to_pylist()):
+                if block.texts and block.chars + len(text or "") > BLOCK_CHARS:
+                    if i > start:
+                        rows.append(batch.column("_row").slice(start, i - start))
+                    yield from ended()
+                    number, block, rows, start = number + 1, Block(find), [], i
+                block.add(text or "")
+            rows.append(batch.column("_row").slice(start))
+        if block.texts:
+            yield from ended()
+
+    return docs.select("_row", "_text").mapInArrow(run, schema)
+
+
+def encoded_words(words: DataFrame, path: str) -> DataFrame:
+    """block, ix, ids of words (block, ix, word): rows are dealt out by word and sorted, and each distinct word is encoded once."""
+    schema = T.StructType().add("block", "long").add("ix", "integer").add("ids", "binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(path)
+        last: dict[str, bytes] = {}  # a word's rows may go on in the next slice
+        for batch in batches:
+            words = batch.column("word").to_pylist()
+            known = vocab.encode_words(w for w in {*words} if w not in last) | last
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("ix"), pa.array([known[w] for w in words], pa.binary())], names=schema.names)
+            last = {words[-1]: known[words[-1]]} if words else last
+
+    return words.repartition("word").sortWithinPartitions("word").select("block", "ix", "word").mapInArrow(run, schema)
 
 
 def bpe_encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """docs without its text column, with ids binary (little-endian unsigned 32-bit) and n_tokens long.
 
     Columns named ids or n_tokens are replaced. A null or empty text has no tokens. Each match of the pattern is
-    encoded by itself, without special tokens. Repeated rows stay; an empty table stays empty.
+    encoded by itself, without special tokens. Texts of any length are read whole; one longer than a block is a block by itself,
+    cut into words some at a time. Repeated rows stay; an empty table stays empty.
     """
     rest = [c for c in docs.columns if c not in (text_col, "ids", "n_tokens")]
+    given = docs.select(F.struct(*rest, F.lit(0).alias("_")).alias("_row"), F.col(text_col).alias("_text"))
+    blocks = stored(cut(given, pattern), "blocks")
+    words = encoded_words(blocks.where("role = 0").select("block", "ix", "word"), path)
+    texts = blocks.where("role = 1").select("block", "role", "ix", "data", "_row")
+    row_type = given.schema["_row"].dataType
+    schema = T.StructType().add("_row", row_type).add("ids", "binary").add("n_tokens", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path, pattern)
-        for batch in batches:
-            ids = vocab.encode([t or "" for t in batch.column(len(rest)).to_pylist()])
-            columns = [*batch.columns[: len(rest)], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*rest, "ids", "n_tokens"])
+        block, entries, table = None, [], None
+        for batch in sliced(batches, "data"):
+            numbers, roles = (batch.column(k).to_numpy() for k in ("block", "role"))
+            data = batch.column("data")
+            out: list[bytes] = []
+            bounds = np.flatnonzero(np.diff(numbers) | np.diff(roles)) + 1
+            for start, stop in zip([0, *bounds.tolist()], [*bounds.tolist(), len(roles)], strict=True):
+                if stop == start:
+                    continue
+                if numbers[start] != block:
+                    block, entries, table = numbers[start], [], None
+                part = data.slice(start, stop - start).to_pylist()
+                if roles[start] == 0:
+                    entries += part
+                    continue
+                if table is None:
+                    sizes = np.array([len(x) // 4 for x in entries], np.int64)
+                    table = (np.frombuffer(b"".join(entries), "<u4"), np.cumsum(sizes) - sizes, sizes, place_type(len(entries)))
+                    entries = []
+                out += [with_ids(x, *table) for x in part]
+            rows = batch.column("_row").filter(pa.array(roles == 1))
+            yield pa.RecordBatch.from_arrays([rows, pa.array(out, pa.binary()), pa.array([len(x) // 4 for x in out], pa.int64())], names=schema.names)
+
+    missing = F.lit(None).cast(row_type).alias("_row")
+    both = texts.unionByName(words.select("block", F.lit(0).alias("role"), "ix", F.col("ids").alias("data"), missing))
+    done = both.repartition("block").sortWithinPartitions("block", "role", "ix").mapInArrow(run, schema)
+    return done.select(*[F.col("_row").getField(c).alias(c) for c in rest], "ids", "n_tokens")
 
-    given = docs.select(*rest, text_col)
-    schema = docs.select(*rest, F.lit(b"").alias("ids"), F.lit(0).cast("long").alias("n_tokens")).schema
-    return given.mapInArrow(run, schema)
 
+def with_ids(places: bytes, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, kind: str) -> bytes:
+    """The ids of the words at the places, which stand in `ids` from their start on."""
+    all_, out = np.frombuffer(places, kind), []
+    for i in range(0, len(all_), CHUNK):
+        at = all_[i : i + CHUNK]
+        n = sizes[at]
+        out.append(ids[np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes())
+    return b"".join(out)
 
-def bpe_decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
-    """encoded with the bytes that its ids stand for in column `to`; null ids give no bytes."""
+
+def bpe_decode(encoded: DataFrame, path: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
+    """encoded with the bytes that its ids stand for in column `to`, which is replaced if it is there.
+
+    Null or empty ids give no bytes; ids of any length are decoded whole. Repeated rows stay; an empty table stays empty.
+    """
     rest = [c for c in encoded.columns if c != to]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path, pattern)
-        for batch in batches:
+        vocab = vocabulary(path)
+        for batch in sliced(batches, rest.index(ids_col)):
             ids = batch.column(rest.index(ids_col)).to_pylist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([vocab.decode(x or b"") for x in ids], pa.binary())], names=[*rest, to])
 

@@ -69,7 +69,7 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe_decode(bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), *ranks()), *ranks())
+    coded = bpe_decode(bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), *ranks()), ranks()[0])
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -87,7 +87,7 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
-    model = train(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
+    model = train(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))))
     scored = score(docs, model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
