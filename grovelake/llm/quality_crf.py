@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 UPPER, LOWER, DIGIT = (bytes(range(ord(a), ord(b) + 1)) for a, b in ("AZ", "az", "09"))
 MARKS = b"*$%#&!|<>{}[]\\^~@_=+`"
 OWN = ("words", "mean_word", "distinct", "repeat", "upper", "marks", "digits", "bars", "other", "ends", "begins", "seen", "exclaims")
@@ -176,11 +178,22 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 2) -> Mode
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1000) -> Model:
+def spread_lines(n: int, most: int) -> np.ndarray:
+    """The places of at most `most` of n lines: all, or whole segments at even distances."""
+    if n <= most:
+        return np.arange(n)
+    starts = np.linspace(0, n - SEGMENT, max(1, most // SEGMENT)).astype(int)
+    return np.unique(starts[:, None] + np.arange(SEGMENT))
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1000, lines: int = 256) -> Model:
     """A model fitted on at most per_class documents of each label, those first in the order of the md5 of the id.
 
-    Rows of labels without a 0 or 1, or without a document, are passed over; an id with both labels counts as
-    bad. Only line features come to the driver, not texts.
+    Give the labels to learn from only: those held out must not be among them, or they take places in the sample. Of a
+    document with more than `lines` lines, that many are learnt from, in segments spread over it, so what comes to the driver
+    (features of lines, no texts) is bounded: 2 * per_class * lines rows of some 30 numbers. Rows of labels without a 0 or
+    1, or without a document, are passed over; an id with both labels counts as bad; a document that stands on several rows
+    counts as often. Null texts count as empty. Without any labels, every score is a half; other columns are ignored.
     """
     one = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("_label"))
     order = F.md5(F.col(id_col).cast("string"))
@@ -189,25 +202,31 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     given = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_label", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [line_features(t or "") for t in batch.column(2).to_pylist()]
-            data = [pa.array([part.astype("<f8").tobytes() for part in parts], pa.binary()) for parts in zip(*made)] if made else [pa.array([], pa.binary())] * 2
+        for batch in sliced(batches, 2):
+            data: tuple[list, list] = ([], [])
+            for text in batch.column(2).to_pylist():
+                features, sizes = line_features(text or "")
+                at = spread_lines(len(sizes), lines)
+                data[0].append(features[at].astype("<f4").tobytes())
+                data[1].append(sizes[at].astype("<f4").tobytes())
+            data = [pa.array(x, pa.binary()) for x in data]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), *data], names=["_id", "_label", "x", "n"])
 
     rows = given.withColumn("_label", F.col("_label").cast("int")).mapInArrow(run, given.select("_id", F.col("_label").cast("int"), F.lit(b"").alias("x"), F.lit(b"").alias("n")).schema).collect()
     rows.sort(key=lambda r: (str(r[0]), r[2]))
-    return fit([(np.frombuffer(r.x, "<f8").reshape(-1, WIDTH), np.frombuffer(r.n, "<f8"), r._label) for r in rows])
+    return fit([(np.frombuffer(r.x, "<f4").reshape(-1, WIDTH).astype(float), np.frombuffer(r.n, "<f4").astype(float), r._label) for r in rows])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", to: str = "score") -> DataFrame:
     """docs without its text column, with the score (0 to 1) of each whole text; null counts as empty.
 
-    Equal texts have equal scores. Repeated rows stay; an empty table stays empty; a column named like `to` is replaced.
+    Equal texts have equal scores. Texts of any length are read whole. Repeated rows stay; an empty table stays empty; a column
+    named like `to` is replaced.
     """
     rest = [c for c in docs.columns if c not in (text_col, to)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, len(rest)):
             scores = [model.score(t or "") for t in batch.column(len(rest)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(scores, pa.float64())], names=[*rest, to])
 
@@ -215,10 +234,14 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", to: str = "scor
 
 
 def good_documents(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose score reaches the threshold; texts pass through once, without a shuffle."""
+    """The rows of docs, all columns, whose score reaches the threshold; texts pass through once, without a shuffle.
+
+    Null texts count as empty and have that score. Repeated rows share their fate; an empty table stays empty; a column named
+    score stays as it is.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, text_col):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             yield batch.filter(pa.array([model.score(t or "") >= threshold for t in texts], pa.bool_()))
 

@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 
-from grovelake.llm.quality_crf import fit, good_documents, good_marginals, held_out, line_features, score, train
+from grovelake.llm.quality_crf import SEGMENT, fit, good_documents, good_marginals, held_out, line_features, score, spread_lines, train, train_chain
 
 
 def document(rng, good):
@@ -49,3 +49,27 @@ def test_odd_rows(spark):
     assert score(df.limit(0), model).count() == 0
     assert fit([]).score("anything") == 0.5
     assert fit(data[1::2]).score("anything") > 0.9
+
+
+def test_lines_without_features_follow_their_neighbours():
+    rng = np.random.default_rng(2)
+
+    def chain():
+        label = int(rng.integers(2))
+        x = np.zeros((9, 2))
+        x[4, 0], x[:, 1] = 2.0 * label - 1, 1.0  # one line tells, the others don't
+        return x, np.full(9, label)
+
+    weights, move = train_chain([chain() for _ in range(200)], steps=200)
+    assert move[0, 0] + move[1, 1] > move[0, 1] + move[1, 0]
+    for x, y in (chain() for _ in range(50)):
+        assert ((good_marginals(x @ weights, move) > 0.5) == y).all()
+        alone = good_marginals(x @ weights, np.zeros((2, 2)))
+        assert np.ptp(np.delete(alone, 4)) < 1e-9  # without the chain these lines have one and the same probability
+
+
+def test_lines_to_learn_from_are_bounded():
+    assert spread_lines(200, 256).tolist() == list(range(200))
+    at = spread_lines(1_000_000, 256)
+    assert len(at) == 256 and at[0] == 0 and at[-1] == 999_999 and (np.diff(at).reshape(-1)[: SEGMENT - 1] == 1).all()
+
