@@ -22,7 +22,8 @@ QUALITY = 0.3
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier rejects go. It learns from the labelled rows that aren't held out."""
-    model = train(docs.where(~held_out(F.col("doc_id"))), table(spark, sf_dir, "labels"))
+    known = ~held_out(F.col("doc_id"))
+    model = train(docs.where(known), table(spark, sf_dir, "labels").where(known))
     return good_documents(docs, model, QUALITY)
 
 
@@ -43,7 +44,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit integers) of each text, and digests of the ids and of what they decode to."""
-    coded = bpe_decode(bpe_encode(docs.select("doc_id", "lang", "source", "text"), *ranks()), *ranks())
+    coded = bpe_decode(bpe_encode(docs.select("doc_id", "lang", "source", "text"), *ranks()), ranks()[0])
     return coded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
