@@ -1,6 +1,9 @@
 import random
+import re
+from collections import defaultdict
 
-from grovelake.llm.html_extract import extract, hashed, main_text, parse
+from grovelake.llm import html_extract
+from grovelake.llm.html_extract import extract, hashed, main_text, page_rows, parse
 
 
 def text_of(page):
@@ -69,3 +72,90 @@ def test_article_text_is_not_told_by_names():
     <section id="social-policy"><p class="notice">Policy</p></section><div class="share">no</div><div id="comments">no</div></article>"""
     assert text_of(page) == "Title\nWork\nSearch\nPolicy"
     assert text_of('<div class="article-header">no</div><p>yes</p>') == "yes"
+
+
+def site(rng, host, pages, frame):
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    line = lambda n: " ".join(word() for _ in range(n))
+    for i in range(pages):
+        body = [line(rng.randint(5, 30)) for _ in range(rng.randint(1, 4))] + ["A phrase that every site repeats in its texts"] * (i % 5 == 0)
+        text = "".join(f"<p>{b}</p>" for b in body)
+        menu = "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(rng.randint(2, 5)))
+        if frame == "plain":
+            page = f'<body><div class="a{i}"><ul>{menu}</ul></div><div class="b">{line(4)}</div><div class="c"><h1>{line(3)}</h1>{text}</div><div class="d">{line(5)} of {host}</div></body>'
+        else:
+            page = f"<body><table><tr><td>{menu}</td><td class='x'>{text}</td></tr></table><span>{host}</span></body>"
+        yield f"http://{host}/{i}", page, "\n".join(re.findall("<h1>(.*?)</h1>", page) + body)
+
+
+def test_frames_with_varying_text_go_by_slots_alone(spark):
+    rng = random.Random(7)
+    made = [*site(rng, "a.example", 40, "plain"), *site(rng, "b.example", 60, "plain"), *site(rng, "c.example", 30, "table")]
+    df = spark.createDataFrame([(i, u, p, i, "z") for i, (u, p, _) in enumerate(made)], "page_id long, url string, html string, hash long, host string")
+    got = {r.page_id: r.text for r in extract(df, names=False).collect()}
+    assert got == {i: text for i, (_, _, text) in enumerate(made)}
+
+
+def test_copies_of_a_page_are_no_frame(spark):
+    rng = random.Random(8)
+    made = [*site(rng, "a.example", 30, "plain")]
+    made += [made[3]] * 50
+    df = spark.createDataFrame([(i, u, p) for i, (u, p, _) in enumerate(made)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract(df).collect()}
+    assert all(got[i] == made[3][2] for i in range(30, 80))
+
+
+def plain_templates(pages, share=0.3, least=10):
+    """The rules of templates() with dictionaries."""
+    places, hosts = defaultdict(dict), defaultdict(set)
+    for host, page in pages:
+        for h, parent, slot, alone, chars, plain in page_rows(parse(page)):
+            if h == 0:
+                hosts[host].add(parent)
+            else:
+                now = places[host].setdefault(h, [set(), slot, alone, chars, plain])
+                now[0].add(parent)
+                now[1], now[2], now[3], now[4] = min(now[1], slot), min(now[2], alone), max(now[3], chars), max(now[4], plain)
+    everyone = sum(map(len, hosts.values()))
+    rare = lambda host, h: 0 if len(places[host][h][0]) >= max(3, share * len(hosts[host])) else len(places[host][h][0])
+    out = {}
+    for host, found in places.items():
+        k = len(hosts[host])
+        enough = min(least, max(3, k / 2))
+        hashes = set()
+        for h, (parents, _, _, chars, _) in found.items():
+            n = len(parents)
+            if chars and n >= 3 and (n >= least and n >= share * k or chars >= 20 and n >= enough):
+                elsewhere = sum(rare(other, h) for other in places if other != host and h in places[other])
+                if not rare(host, h) or rare(host, h) * (everyone - k) >= 4 * k * elsewhere:
+                    hashes.add(h)
+        slots = defaultdict(list)
+        for parents, slot, alone, _, plain in found.values():
+            slots[slot].append((len(parents), plain if alone and len(parents) < 3 else 0))
+        out[host] = hashes, {s: sum(p for _, p in x) / len(x) for s, x in slots.items() if sum(n for n, _ in x) >= enough}
+    return out
+
+
+def test_same_as_plain_counting(spark):
+    rng = random.Random(9)
+    made = [*site(rng, "a.example", 25, "plain"), *site(rng, "b.example", 12, "table"), *site(rng, "c.example", 4, "plain"), *site(rng, "d.example", 2, "table")]
+    made += [made[0]] * 12 + [("http://d.example/x", "<main>" + "<p>long text</p>" * 20_000 + "</main>", "")]
+    rng.shuffle(made)
+    df = spark.createDataFrame([(i, u, p) for i, (u, p, _) in enumerate(made)], "page_id long, url string, html string")
+    known = plain_templates([(u.split("/")[2], p) for u, p, _ in made])
+    got = {r.page_id: (r.text, r.n_chars) for r in extract(df).collect()}
+    for i, (u, p, _) in enumerate(made):
+        root = parse(p)
+        hashed(root)
+        want = main_text(root, frozenset(known[u.split("/")[2]][0]), known[u.split("/")[2]][1])
+        assert got[i] == (want, len(want))
+
+
+def test_templates_too_large_to_broadcast(spark, monkeypatch):
+    rng = random.Random(10)
+    made = [*site(rng, "a.example", 40, "plain"), *site(rng, "b.example", 20, "table")]
+    df = spark.createDataFrame([(i, u, p) for i, (u, p, _) in enumerate(made)], "page_id long, url string, html string")
+    want = sorted(map(tuple, extract(df).collect()))
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(html_extract, "PART_PAGES", 7)
+    assert sorted(map(tuple, extract(df).collect())) == want
