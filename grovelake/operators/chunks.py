@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import canon
-from .trees import fold
+from .trees import fold, positions
 
 #: Sizes of chunks, largest first; a chunk takes the largest that fits in what remains, the last all of it.
 CHUNK_SIZES = (4 << 20, 1 << 20, 256 << 10, 64 << 10, 16 << 10)
@@ -50,7 +50,59 @@ def file_ids(chunks: DataFrame, files: DataFrame, key: str, max_items: int = can
     return roots.select(F.col("list").alias(key), "size", "object_id"), nodes
 
 
+def whole_file_ids(files: DataFrame, content: str, keep: list[str], max_items: int = canon.MAX_FILE) -> DataFrame:
+    """keep, size, n_chunks, object_id: every file's id from its bytes.
+
+    The File object of up to max_items chunks is made within the row that holds them, without a shuffle; only longer
+    files go through the fold, by keep, which must tell rows apart.
+    """
+    data, sizes = F.col(content), F.col("_sizes")
+    before = lambda i: F.aggregate(F.slice(sizes, 1, i), F.lit(0).cast("long"), lambda s, x: s + x)
+    part = F.transform(sizes, lambda s, i: canon.chunk_part(s, canon.object_id(F.substring(data, (before(i) + 1).cast("int"), s.cast("int")))))
+    rows = files.withColumn("_sizes", chunk_sizes(F.length(data)))
+    about = [*keep, F.length(data).cast("long").alias("size"), F.size(sizes).cast("long").alias("n_chunks")]
+    short = rows.where(F.size(sizes) <= max_items).select(*about, canon.text_id(canon.file_object(part)).alias("object_id"))
+    long = rows.where(F.size(sizes) > max_items)
+    if long.isEmpty():
+        return short
+    keyed = long.withColumn("_key", F.struct(*keep))
+    ids, _ = file_ids(chunk_contents(keyed, content, ["_key"]).drop("bytes"), keyed, "_key", max_items)
+    return short.unionByName(keyed.select("_key", *about).join(ids.select("_key", "object_id"), "_key").drop("_key"))
+
+
 def appended_buffers(buffers: DataFrame, key: str) -> DataFrame:
     """key, ix, offset, size of the chunks that a stream of buffers (key, seq, bytes) makes: those of its bytes in a row."""
     totals = buffers.groupBy(key).agg(F.sum(F.length("bytes")).alias("_total"))
     return chunk_manifest(totals, F.col("_total"), [key])
+
+
+def chunk_at(position: Column, total: Column) -> Column:
+    """The number of the chunk that holds a byte of a content of total bytes: one division for each size of chunk."""
+    at, rest, number = position.cast("long"), total.cast("long"), F.lit(0).cast("long")
+    found = F.lit(None).cast("long")
+    for s in CHUNK_SIZES:
+        n = F.floor(rest / s)
+        found = F.coalesce(found, F.when(at < n * s, number + F.floor(at / s)))
+        at, rest, number = at - n * s, rest % s, number + n
+    return F.coalesce(found, number)
+
+
+def streamed_chunks(buffers: DataFrame, key: str) -> DataFrame:
+    """key, ix, offset, size, chunk_id of the chunks that streams of buffers (key, seq, bytes) make.
+
+    Each buffer is cut where chunks end, whose places follow from the stream's length alone; the pieces of a chunk meet by its number.
+    Streams of any length are dealt over many tasks; only pieces of one chunk, at most the largest size, come together.
+    """
+    placed = positions(buffers.select(key, "seq", "bytes", F.length("bytes").cast("long").alias("_n")), [key], ["seq"], "_at", weight="_n")
+    totals = buffers.groupBy(key).agg(F.sum(F.length("bytes")).cast("long").alias("_total"))
+    rows = placed.join(totals, key).where("_n > 0")
+    first, last = chunk_at(F.col("_at"), F.col("_total")), chunk_at(F.col("_at") + F.col("_n") - 1, F.col("_total"))
+    pieces = rows.withColumn("ix", F.explode(F.sequence(first, last)))
+    manifest = chunk_manifest(totals, F.col("_total"), [key]).withColumn("ix", F.col("ix").cast("long"))
+    met = pieces.join(manifest, [key, "ix"])
+    start = F.greatest(F.lit(0).cast("long"), F.col("offset") - F.col("_at"))
+    stop = F.least(F.col("_n"), F.col("offset") + F.col("size") - F.col("_at"))
+    met = met.select(key, "ix", "offset", "size", "_at", F.substring(F.col("bytes"), (start + 1).cast("int"), (stop - start).cast("int")).alias("piece"))
+    joined = met.groupBy(key, "ix", "offset", "size").agg(F.array_sort(F.collect_list(F.struct("_at", "piece"))).alias("p"))
+    content = F.aggregate("p", F.lit(b"").cast("binary"), lambda s, x: F.concat(s, x["piece"]))
+    return joined.select(key, F.col("ix").cast("int").alias("ix"), "offset", "size", canon.object_id(content).alias("chunk_id"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import canon
 from ..functions.text import names_of
+from . import chunks, trees, walk
 
 
 def ancestors(path: Column, own: bool = False) -> Column:
@@ -29,6 +31,40 @@ def list_modify(elements: DataFrame, modifications: DataFrame, key: str = "key")
     return both.select(key, F.when(F.col("op") == "Set", F.col("_new")).otherwise(F.col("_old")).alias("_v")).select(key, "_v.*")
 
 
+def directory_modify(objects: DataFrame, roots: DataFrame, modifications: DataFrame, max_items: int = canon.MAX_DIRECTORY) -> tuple[DataFrame, DataFrame]:
+    """(list, object_id) of directories after modifications of their lists, and their Directory objects.
+
+    roots: list, object_id. modifications: list, name, op (Set or Remove), kind, size, executable, target_id.
+    """
+    rest = ["kind", "size", "executable", "target_id"]
+    now = walk.list_directory(objects, roots).select(F.struct("list", "name").alias("key"), *rest)
+    changed = list_modify(now, modifications.select(F.struct("list", "name").alias("key"), "op", *rest))
+    return trees.directories(changed.select("key.list", "key.name", *rest), roots.select("list"), max_items)
+
+
+def file_modify(objects: DataFrame, roots: DataFrame, modifications: DataFrame, max_items: int = canon.MAX_FILE) -> tuple[DataFrame, DataFrame]:
+    """(list, size, object_id) of files after modifications of their chunks, and their File objects.
+
+    roots: list, object_id. modifications: list, offset, op (Set or Remove), size, chunk_id; a chunk is named by the place of its first
+    byte in the file as it was, so places don't move while several are changed. Where none begins, Set inserts one.
+    """
+    parts = trees.positions(walk.list_file(objects, roots).select("list", "at", "size", F.col("target_id").alias("chunk_id")), ["list"], ["at"], "offset", weight="size")
+    changed = list_modify(parts.select(F.struct("list", "offset").alias("key"), "size", "chunk_id"), modifications.select(F.struct("list", "offset").alias("key"), "op", "size", "chunk_id"))
+    rows = trees.positions(changed.select("key.list", "key.offset", "size", "chunk_id"), ["list"], ["offset"])
+    ids, nodes = chunks.file_ids(rows.withColumnRenamed("list", "_list"), roots.select(F.col("list").alias("_list")), "_list", max_items)
+    return ids.withColumnRenamed("_list", "list"), nodes
+
+
+def branches_modify(objects: DataFrame, roots: DataFrame, modifications: DataFrame, max_items: int = canon.MAX_BRANCHES) -> tuple[DataFrame, DataFrame]:
+    """(list, object_id) of lists of branches after modifications (list, name, op, commit_id), and their Branches objects.
+
+    A list that no branch is left in has no row.
+    """
+    now = walk.list_branches(objects, roots).select(F.struct("list", "name").alias("key"), F.col("target_id").alias("commit_id"))
+    changed = list_modify(now, modifications.select(F.struct("list", "name").alias("key"), "op", "commit_id"))
+    return trees.branch_lists(changed.select("key.list", "key.name", "commit_id"), max_items)
+
+
 def overlap_pairs(paths: DataFrame) -> DataFrame:
     """outer, inner: the pairs of which the first holds the second or, as equal paths given twice, is it.
 

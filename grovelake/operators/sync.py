@@ -51,13 +51,14 @@ def batches(items: DataFrame) -> DataFrame:
         left, batch, out = list(range(len(pdf))), 0, [0] * len(pdf)
         dirs = pdf["repo_dir"].tolist()
         while left:
-            taken: list[int] = []
+            taken, rest = [], []
             for i in left:
-                if not any(overlap(dirs[i], dirs[j]) for j in taken):
+                if any(overlap(dirs[i], dirs[j]) for j in taken):
+                    rest.append(i)
+                else:
                     taken.append(i)
                     out[i] = batch
-            left = [i for i in left if i not in taken]
-            batch += 1
+            left, batch = rest, batch + 1
         return pdf.assign(batch=out)
 
     schema = rows.select("*", F.lit(0).cast("int").alias("batch")).schema

@@ -30,9 +30,8 @@ def file_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def file_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, path, size, executable, target_id (the File object)."""
-    all_ = files(spark, sf_dir).select("doc_id", "path", "size", "executable")
-    ids, _ = chunks.file_ids(file_chunks(spark, sf_dir), all_, "doc_id")
-    return all_.join(ids.select("doc_id", F.col("object_id").alias("target_id")), "doc_id")
+    rows = files(spark, sf_dir).drop("size")
+    return chunks.whole_file_ids(rows, "content", ["doc_id", "path", "executable"]).select("doc_id", "path", "size", "executable", F.col("object_id").alias("target_id"))
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +53,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat("text", F.when(F.col("s.v.edit") != "", F.concat(F.lit("\n"), "s.v.edit")).otherwise(""))
     at = F.concat(path_of(F.col("doc_id")), F.when(F.col("s.v.dir"), "/inner.txt").otherwise(""))
     file_rows = rows.select("s.side", at.alias("path"), F.lit("File").alias("kind"), F.sha2(F.encode(text, "utf-8"), 256).alias("target_id"), F.length(F.encode(text, "utf-8")).cast("long").alias("size"), ((F.col("doc_id") % 7 == 0) != F.col("s.v.flip")).alias("executable"))
+    file_rows = trees.cut_lineage(file_rows)
     # Ids of directories: one fold for all three sides, each below a directory named like the side.
     sided = file_rows.select(F.concat_ws("/", "side", "path").alias("path"), "size", "executable", "target_id")
     places = docs.select(F.explode(F.array(*map(F.lit, ("base", "theirs", "ours")))).alias("side"), "lang", "source").distinct().select(F.concat_ws("/", "side", "lang", "source").alias("path"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import canon, text
-from ..operators import caches, chunks, edit, merge, reconcile, sync, trees, walk
+from ..operators import caches, chunks, edit, merge, reconcile, search, sync, trees, walk
 from ..sources import ignore
 from . import fixtures as fx
 from . import sql
@@ -32,11 +32,8 @@ def query(sql_text: str | None = None):
 
 @query(f"{sql.CHUNKS} SELECT f.doc_id, f.path, f.size, f.n_chunks, f.target_id AS file_id FROM file_ids f")
 def file_ids(spark, sf):
-    chunk_rows = fx.file_chunks(spark, sf)
-    all_ = fx.files(spark, sf).select("doc_id", "path", "size")
-    ids, _ = chunks.file_ids(chunk_rows, all_, "doc_id")
-    n = all_.select("doc_id", F.size(chunks.chunk_sizes(F.col("size"))).cast("long").alias("n_chunks"))
-    return all_.join(ids.select("doc_id", F.col("object_id").alias("file_id")), "doc_id").join(n, "doc_id").select("doc_id", "path", "size", "n_chunks", "file_id")
+    rows = fx.files(spark, sf).drop("size")
+    return chunks.whole_file_ids(rows, "content", ["doc_id", "path"]).withColumnRenamed("object_id", "file_id")
 
 
 @query(f'{sql.CHUNKS} SELECT doc_id, ix::INTEGER AS ix, "offset", size FROM chunks')
@@ -85,11 +82,15 @@ def page_ids(spark, sf):
     return fx.table(spark, sf, "pages").select("page_id", F.length(data).cast("long").alias("size"), canon.object_id(data).alias("content_id"))
 
 
-@query("SELECT c_custkey, sum(o)::BIGINT AS total, count(*) AS n_buffers FROM (SELECT o_custkey AS c_custkey, octet_length(encode(o_orderpriority)) AS o FROM orders) GROUP BY c_custkey")
+@query(f"""WITH streams AS (SELECT lang, list(text ORDER BY doc_id) AS t FROM documents GROUP BY lang),
+    files AS (SELECT lang, encode(array_to_string(t, '')) AS content, octet_length(encode(array_to_string(t, '')))::BIGINT AS size FROM streams),
+    sized AS (SELECT *, {sql.sizes()} AS sizes FROM files),
+    placed AS (SELECT lang, content, ix, sizes[ix + 1] AS size, coalesce(list_sum(sizes[1:ix]), 0)::BIGINT AS "offset" FROM (SELECT *, unnest(range(len(sizes))) AS ix FROM sized))
+    SELECT lang, ix::INTEGER AS ix, "offset", size, sha256(array_slice(content, "offset" + 1, "offset" + size)) AS chunk_id FROM placed""")
 def streamed_uploads(spark, sf):
-    buffers = fx.table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("seq"), F.encode("o_orderpriority", "utf-8").alias("bytes"))
-    made = chunks.appended_buffers(buffers, "c_custkey").groupBy("c_custkey").agg(F.sum("size").alias("total"))
-    return made.join(buffers.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n_buffers")), "c_custkey")
+    """Each language's documents as the buffers of one stream, cut into chunks across their boundaries."""
+    buffers = fx.table(spark, sf, "documents").select("lang", F.col("doc_id").alias("seq"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("bytes"))
+    return chunks.streamed_chunks(buffers, "lang").select("lang", "ix", "offset", "size", "chunk_id")
 
 
 # Folded lists and trees
@@ -170,14 +171,14 @@ def _entries(spark, sf):
 
 
 @query(f"""{sql.PATHS}, probes AS (
-    SELECT path FROM entries WHERE path LIKE '%7.txt' UNION ALL SELECT '/' || path || '/' FROM entries WHERE kind = 'Directory'
-    UNION ALL SELECT path || '/x' FROM entries WHERE path LIKE '%3.txt' UNION ALL SELECT '//' UNION ALL SELECT 'no/such')
+    SELECT path FROM entries WHERE kind = 'File' UNION ALL SELECT '/' || path || '/' FROM entries WHERE kind = 'Directory'
+    UNION ALL SELECT path || '/x' FROM entries WHERE kind = 'File' UNION ALL SELECT '//' UNION ALL SELECT 'no/such')
     SELECT p.path, CASE WHEN n = '' THEN 'Root' ELSE coalesce(e.kind, 'None') END AS found
     FROM (SELECT path, array_to_string(list_filter(string_split(path, '/'), lambda x: x <> ''), '/') AS n FROM probes) p LEFT JOIN entries e ON e.path = p.n""")
 def resolve_path(spark, sf):
     entries = _entries(spark, sf)
-    probes = entries.where("path like '%7.txt'").select("path").unionByName(entries.where("kind = 'Directory'").select(F.concat(F.lit("/"), "path", F.lit("/")).alias("path")))
-    probes = probes.unionByName(entries.where("path like '%3.txt'").select(F.concat("path", F.lit("/x")).alias("path"))).unionByName(spark.createDataFrame([("//",), ("no/such",)], "path string"))
+    probes = entries.where("kind = 'File'").select("path").unionByName(entries.where("kind = 'Directory'").select(F.concat(F.lit("/"), "path", F.lit("/")).alias("path")))
+    probes = probes.unionByName(entries.where("kind = 'File'").select(F.concat("path", F.lit("/x")).alias("path"))).unionByName(spark.createDataFrame([("//",), ("no/such",)], "path string"))
     return walk.resolve(probes, entries.withColumn("target_id", F.lit(None).cast("string"))).select("path", "found")
 
 
@@ -190,9 +191,88 @@ def byte_position_lookup(spark, sf):
     return found.select(F.col("list").alias("l_orderkey"), "pos", F.col("ix").cast("int").alias("ix"), "start", "size")
 
 
+@query(f"""WITH parts AS ({sql.ORDER_PARTS}) SELECT list AS l_orderkey, ix, size, chunk_id FROM parts""")
+def nested_file_chunks(spark, sf):
+    """The chunks of every order as a file of nodes of three, read back from its objects in order."""
+    roots, nodes = _order_files(spark, sf)
+    flat = walk.list_file(nodes, roots)
+    rank = F.row_number().over(Window.partitionBy("list").orderBy("at")) - 1
+    return flat.select(F.col("list").alias("l_orderkey"), rank.cast("long").alias("ix"), "size", F.col("target_id").alias("chunk_id"))
+
+
+def _order_files(spark, sf):
+    """(list, object_id) of every order as a file, and its objects, in nodes of three parts."""
+    parts = fx.order_parts(spark, sf)
+    roots, nodes = chunks.file_ids(parts.withColumnRenamed("list", "l_orderkey"), parts.select(F.col("list").alias("l_orderkey")), "l_orderkey", 3)
+    return trees.cut_lineage(roots.select(F.col("l_orderkey").alias("list"), "object_id")), trees.cut_lineage(nodes)
+
+
+@query(f"""WITH parts AS ({sql.ORDER_PARTS}), placed AS (SELECT list, size, chunk_id, coalesce(sum(size) OVER (PARTITION BY list ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM parts),
+    probes AS (SELECT o_orderkey AS list, unnest([0, 25, 100, 100000])::BIGINT AS pos FROM orders)
+    SELECT list AS l_orderkey, pos, start, size, chunk_id FROM probes JOIN placed USING (list) WHERE pos >= start AND pos < start + size""")
+def byte_search(spark, sf):
+    """byte_position_lookup by descent through the nodes of nested files."""
+    roots, nodes = _order_files(spark, sf)
+    wanted = roots.select("*", F.explode(F.array(*(F.lit(x).cast("long") for x in (0, 25, 100, 100000)))).alias("pos"))
+    return search.find_bytes(nodes, wanted).select(F.col("list").alias("l_orderkey"), "pos", "start", "size", F.col("target_id").alias("chunk_id"))
+
+
+@query("""SELECT c_name AS name, 'File' AS kind, c_custkey AS size, sha256(c_name) AS target_id FROM customer""")
+def name_search(spark, sf):
+    """Every name of a directory of nested nodes, and as many that aren't there, looked up by descent."""
+    entries = fx.directory_leaves(spark, sf)
+    roots, nodes = trees.directories(entries, entries.select("list"), 16)
+    names = entries.select(F.explode(F.array("name", F.concat("name", F.lit("~")))).alias("name"))
+    wanted = trees.cut_lineage(roots).select("object_id").limit(1).crossJoin(names).withColumn("list", F.lit(""))
+    return search.find_entries(trees.cut_lineage(nodes), wanted).select("name", "kind", "size", "target_id")
+
+
+@query(f"""{sql.PATHS}, probes AS (SELECT path FROM entries UNION ALL SELECT '/' || path || '//' FROM entries UNION ALL SELECT path || '/x' FROM entries)
+    SELECT p.path, CASE WHEN n = '' OR e.kind = 'Directory' THEN NULL WHEN e.kind = 'File' THEN 'NotADirectory' ELSE 'NotFound' END AS error, n = '' OR e.kind IS NOT DISTINCT FROM 'Directory' AS there
+    FROM (SELECT path, array_to_string(list_filter(string_split(path, '/'), lambda x: x <> ''), '/') AS n FROM probes) p LEFT JOIN entries e ON e.path = p.n""")
+def resolve_to_directory(spark, sf):
+    """Paths of files and directories, and some below each, resolved to directories by descent through the tree's objects."""
+    dirs, nodes = _tree(spark, sf)
+    entries = _entries(spark, sf)
+    probes = entries.select(F.explode(F.array("path", F.concat(F.lit("/"), "path", F.lit("//")), F.concat("path", F.lit("/x")))).alias("path"))
+    got = search.resolve_to_directories(trees.cut_lineage(nodes), dirs.where("path = ''").select("object_id"), probes)
+    return got.select("path", "error", F.col("object_id").isNotNull().alias("there"))
+
+
 # Edits
 
 
+@query(f"""WITH parts AS ({sql.ORDER_PARTS}), placed AS (SELECT list, size, chunk_id, coalesce(sum(size) OVER (PARTITION BY list ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o, ix, count(*) OVER (PARTITION BY list) AS n FROM parts),
+    kept AS (SELECT list, o, CASE WHEN ix = 0 THEN 7::BIGINT ELSE size END AS size, CASE WHEN ix = 0 THEN sha256('new') ELSE chunk_id END AS chunk_id FROM placed WHERE ix <> 1
+        UNION ALL SELECT list, o + size, 9, sha256('end') FROM placed WHERE ix = n - 1),
+    leaves AS (SELECT list, row_number() OVER (PARTITION BY list ORDER BY o) - 1 AS ix, size, chunk_id FROM kept),
+    items AS (SELECT list, ix, size, '{{"content":"' || chunk_id || '","size":' || size || ',"type":"Chunk"}}' AS item, NULL::VARCHAR AS first, NULL::VARCHAR AS last FROM leaves),
+    {sql.fold('file', 'items', 3)} SELECT list AS l_orderkey, size, object_id FROM file_roots""")
+def file_modify(spark, sf):
+    """Of each order as a file: the first chunk replaced, the second removed, one added at the end, named by their places."""
+    roots, nodes = _order_files(spark, sf)
+    parts = trees.positions(fx.order_parts(spark, sf), ["list"], ["ix"], "offset", weight="size")
+    name = lambda c: F.sha2(F.lit(c.encode()), 256)
+    mods = parts.where("ix = 0").select("list", "offset", F.lit("Set").alias("op"), F.lit(7).cast("long").alias("size"), name("new").alias("chunk_id"))
+    mods = mods.unionByName(parts.where("ix = 1").select("list", "offset", F.lit("Remove").alias("op"), F.lit(None).cast("long").alias("size"), F.lit(None).cast("string").alias("chunk_id")))
+    ends = parts.groupBy("list").agg(F.max(F.col("offset") + F.col("size")).alias("offset"))
+    mods = mods.unionByName(ends.select("list", "offset", F.lit("Set").alias("op"), F.lit(9).cast("long").alias("size"), name("end").alias("chunk_id")))
+    return edit.file_modify(nodes, roots, mods, 3)[0].withColumnRenamed("list", "l_orderkey")
+
+
+@query(f"""WITH old AS ({sql.CUSTOMER_ENTRIES}), kept AS (SELECT c_name AS name, c_custkey AS k, c_custkey % 5 = 1 AS changed FROM customer WHERE c_custkey % 5 <> 2 UNION ALL SELECT c_name || '.more', c_custkey, true FROM customer WHERE c_custkey % 5 = 3),
+    items AS (SELECT '' AS list, row_number() OVER (ORDER BY name) - 1 AS ix, '{{"executable":' || CASE WHEN changed THEN 'true' ELSE (k % 7 = 0)::VARCHAR END || ',"file":"' || CASE WHEN changed THEN sha256('new') ELSE sha256(name) END || '","name":"' || name || '","size":' || k || ',"type":"File"}}' AS item, name AS first, name AS last, 0 AS size FROM kept),
+    {sql.fold('directory', 'items', 16)} SELECT object_id FROM directory_roots""")
+def directory_modify(spark, sf):
+    """A directory of nested nodes after sets, removals and insertions by name."""
+    entries = fx.directory_leaves(spark, sf)
+    roots, nodes = trees.directories(entries, entries.select("list"), 16)
+    k, new = F.col("size"), F.sha2(F.lit(b"new"), 256)
+    change = lambda df, op, name: df.select("list", name.alias("name"), F.lit(op).alias("op"), "kind", "size", F.lit(True).alias("executable"), new.alias("target_id"))
+    mods = change(entries.where(k % 5 == 1), "Set", F.col("name")).unionByName(change(entries.where(k % 5 == 2), "Remove", F.col("name"))).unionByName(change(entries.where(k % 5 == 3), "Set", F.concat("name", F.lit(".more"))))
+    return edit.directory_modify(trees.cut_lineage(nodes), trees.cut_lineage(roots), mods, 16)[0].select("object_id")
+
+
 @query(f"""{sql.CHUNKS}, mods AS (SELECT path, CASE WHEN doc_id % 10 = 2 THEN 'Remove' ELSE 'Set' END AS op, 'new' || doc_id AS target_id FROM files WHERE doc_id % 5 = 2
     UNION ALL SELECT path || '.more', 'Set', 'add' FROM files WHERE doc_id % 5 = 3 UNION ALL SELECT path || '.none', 'Remove', NULL FROM files WHERE doc_id % 5 = 4)
     SELECT coalesce(f.path, m.path) AS key, CASE WHEN m.op = 'Set' THEN m.target_id ELSE f.target_id END AS target_id
@@ -273,7 +353,15 @@ def conflict_words(spark, sf):
     return rows.select("path", merge.change_described(F.col("change_1"), F.col("base"), F.col("one")).alias("theirs"), merge.change_described(F.col("change_2"), F.col("base"), F.col("two")).alias("ours"))
 
 
-@query()
+@query(rf"""WITH d AS (SELECT {sql.PATH} AS path, lpad(doc_id::VARCHAR, 8, '0') || '.txt' AS name, coalesce(text, '') AS t, doc_id % 4 AS k FROM documents),
+    cut AS (SELECT *, regexp_replace(t, '[^\n]*$', '') AS lines, regexp_extract(t, '[^\n]*$') AS last FROM d),
+    -- Lines at the end collide with each other; one at the front collides with one at the end where the text has no line that stays.
+    told AS (SELECT *, CASE WHEN k = 3 THEN 'Binary' WHEN k = 2 OR k = 0 AND lines = '' THEN 'MergeConflict' ELSE 'Merged' END AS outcome,
+        CASE WHEN last = '' THEN '' ELSE last || chr(10) END AS b FROM cut),
+    made AS (SELECT *, CASE WHEN outcome = 'Binary' THEN NULL WHEN k = 1 THEN t || chr(10) || 'A' WHEN outcome = 'Merged' THEN 'first' || chr(10) || t || chr(10) || 'A'
+        ELSE lines || '<<<<<<< ' || name || '_1' || chr(10) || last || chr(10) || 'A' || chr(10) || '||||||| base' || chr(10) || b || '=======' || chr(10)
+            || CASE WHEN k = 0 THEN 'first' || chr(10) || b ELSE last || chr(10) || 'B' || chr(10) END || '>>>>>>> ' || name || '_2' || chr(10) END AS content FROM told)
+    SELECT path, outcome, sha256(content) AS content_id FROM made""")
 def text_merge_outcome(spark, sf):
     docs = fx.table(spark, sf, "documents").select(fx.path_of(F.col("doc_id")).alias("path"), F.coalesce("text", F.lit("")).alias("t"), (F.col("doc_id") % 4).alias("k"))
     end = lambda s: F.encode(F.concat("t", F.lit(s)), "utf-8")
@@ -351,15 +439,8 @@ def fingerprint_skip(spark, sf):
 
 
 @query(f"""{sql.CHUNKS}, ranked AS (SELECT chunk_id, path, "offset", size AS length, row_number() OVER (PARTITION BY chunk_id ORDER BY path, "offset") AS nth FROM chunks)
-    SELECT chunk_id, path, "offset", length, nth::INTEGER AS nth FROM ranked WHERE nth <= 2""")
+    SELECT chunk_id, path, "offset", length, nth::INTEGER AS nth FROM ranked WHERE nth <= 256""")
 def local_chunk_candidates(spark, sf):
-    rows = trees.cut_lineage(fx.file_chunks(spark, sf))
-    return caches.local_candidates(rows.select("chunk_id"), rows.select("chunk_id", "path", "offset", F.col("size").alias("length")), 2)
-
-
-@query()
-def local_chunk_places(spark, sf):
-    """local_chunk_candidates with the operator's own limit, that of the reference."""
     rows = trees.cut_lineage(fx.file_chunks(spark, sf))
     return caches.local_candidates(rows.select("chunk_id"), rows.select("chunk_id", "path", "offset", F.col("size").alias("length")))
 
@@ -381,19 +462,13 @@ def kv_list_entries(spark, sf):
 
 # Histories and reachability
 
-_COMMITS = """WITH RECURSIVE c AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS n FROM orders), step AS (
-    SELECT 90::BIGINT AS n, 0 AS distance UNION SELECT unnest(CASE WHEN n % 10 = 0 THEN [n - 1, n - 5] ELSE [n - 1] END), distance + 1 FROM step WHERE n > 1)"""
+#: Each step back is one, but from every tenth commit five are one, so the way from the last passes all tenths down to the commit.
+_HISTORY = """WITH c AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS n, count(*) OVER () AS last FROM orders)
+    SELECT sha256('commit-' || n) AS commit_id, (last - n - 4 * greatest(0, last // 10 - (n + 14) // 10 + 1))::INTEGER AS distance FROM c"""
 
 
-@query(_COMMITS + " SELECT sha256('commit-' || n) AS commit_id, min(distance)::INTEGER AS distance FROM step WHERE n >= 1 GROUP BY n")
+@query(_HISTORY)
 def commit_chain(spark, sf):
-    rows = trees.cut_lineage(fx.commits(spark, sf).where("n <= 90"))
-    return walk.history(rows, rows.where("n = 90"))
-
-
-@query()
-def commit_history(spark, sf):
-    """commit_chain over all commits, from the last."""
     rows = trees.cut_lineage(fx.commits(spark, sf))
     return walk.history(rows, rows.orderBy(F.desc("n")).limit(1))
 
@@ -437,9 +512,9 @@ def _refs(spark, sf):
     return trees.cut_lineage(ref(o, "o", "o_orderkey", "c", "o_custkey").unionByName(ref(c, "c", "c_custkey", "n", "c_nationkey")).unionByName(ref(n, "n", "n_nationkey", "r", "n_regionkey")).distinct())
 
 
-@query(_REFS + ", seen AS (SELECT 'o' || o_orderkey AS x FROM orders WHERE o_orderkey % 50 = 0 UNION SELECT b FROM seen JOIN refs ON x = a) SELECT x AS object_id FROM seen")
+@query(_REFS + ", seen AS (SELECT 'o' || o_orderkey AS x FROM orders UNION SELECT b FROM seen JOIN refs ON x = a) SELECT x AS object_id FROM seen")
 def reachable_objects(spark, sf):
-    starts = fx.table(spark, sf, "orders").where("o_orderkey % 50 = 0").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("object_id"))
+    starts = fx.table(spark, sf, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("object_id"))
     return walk.reachable(starts, _refs(spark, sf))
 
 
@@ -464,7 +539,17 @@ def sync_order(spark, sf):
     return sync.ordered(fx.sync_items(spark, sf)).select("store", "depth", "sync_no")
 
 
-@query()
+_OVERLAP = "(x.d = q.d OR x.d = '' OR q.d = '' OR starts_with(x.d, q.d || '/') OR starts_with(q.d, x.d || '/'))"
+
+
+@query(f"""WITH RECURSIVE s AS ({sql.SYNC}), q AS (SELECT *, trim(repo_dir, '/') AS d, row_number() OVER (PARTITION BY repo_url, branch, base_commit
+        ORDER BY len(list_filter(string_split(repo_dir, '/'), lambda x: x <> '')) DESC, repo_dir, store)::INTEGER AS sync_no FROM s),
+    put AS (SELECT repo_url, branch, base_commit, 1 AS k, [{{'d': d, 'b': 0}}] AS placed FROM q WHERE sync_no = 1
+        UNION ALL SELECT p.repo_url, p.branch, p.base_commit, k + 1, list_append(placed, {{'d': q.d, 'b': list_min(list_filter(range(k + 1),
+            lambda b: len(list_filter(placed, lambda x: x.b = b AND {_OVERLAP})) = 0))::INTEGER}})
+        FROM put p JOIN q ON p.repo_url = q.repo_url AND p.branch = q.branch AND p.base_commit = q.base_commit AND q.sync_no = k + 1),
+    whole AS (SELECT * FROM put QUALIFY k = max(k) OVER (PARTITION BY repo_url, branch, base_commit))
+    SELECT q.store, q.repo_url, q.branch, q.base_commit, q.repo_dir, q.sync_no, placed[q.sync_no].b AS batch FROM q JOIN whole USING (repo_url, branch, base_commit)""")
 def sync_batches(spark, sf):
     return sync.batches(fx.sync_items(spark, sf)).select("store", "repo_url", "branch", "base_commit", "repo_dir", "sync_no", "batch")
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from ..functions.canon import MAX_DIRECTORY
 from ..operators.chunks import CHUNK_SIZES
 
-_PATH = "lang || '/' || source || '/' || lpad(doc_id::VARCHAR, 8, '0') || '.txt'"
-_FILES = f"""files AS (SELECT doc_id, lang, source, {_PATH} AS path, encode(coalesce(text, '')) AS content,
+PATH = "lang || '/' || source || '/' || lpad(doc_id::VARCHAR, 8, '0') || '.txt'"
+_FILES = f"""files AS (SELECT doc_id, lang, source, {PATH} AS path, encode(coalesce(text, '')) AS content,
     octet_length(encode(coalesce(text, '')))::BIGINT AS size, doc_id % 7 = 0 AS executable FROM documents)"""
 
 
-def _sizes() -> str:
+def sizes() -> str:
+    """The sizes of the chunks of `size` bytes."""
     rest, parts = "size", []
     for s in CHUNK_SIZES:
         parts.append(f"list_transform(range({rest} // {s}), lambda x: {s}::BIGINT)")
@@ -19,7 +20,7 @@ def _sizes() -> str:
 
 
 #: files, chunks (doc_id, path, ix, offset, size, chunk_id) and file_ids (files with target_id, n_chunks).
-CHUNKS = f"""WITH {_FILES}, sized AS (SELECT *, {_sizes()} AS sizes FROM files),
+CHUNKS = f"""WITH {_FILES}, sized AS (SELECT *, {sizes()} AS sizes FROM files),
 placed AS (SELECT doc_id, path, content, ix, sizes[ix + 1] AS size, coalesce(list_sum(sizes[1:ix]), 0)::BIGINT AS "offset" FROM (SELECT *, unnest(range(len(sizes))) AS ix FROM sized)),
 chunks AS (SELECT doc_id, path, ix, "offset", size, sha256(array_slice(content, "offset" + 1, "offset" + size)) AS chunk_id FROM placed),
 file_ids AS (SELECT f.doc_id, f.lang, f.source, f.path, f.size, f.executable, count(c.ix) AS n_chunks,
@@ -71,7 +72,7 @@ TREE = f"""{CHUNKS}, leaf AS (SELECT lang || '/' || source AS list, regexp_extra
 {_dirs("(SELECT '' AS list, lang AS name, object_id FROM lang_dirs)", _DIR_ITEM, 'r')}, root_dir AS (SELECT object_id FROM r_roots)"""
 
 #: entries (path, kind) of the virtual tree, with the root ''.
-PATHS = f"""WITH entries AS (SELECT {_PATH} AS path, 'File' AS kind FROM documents UNION ALL SELECT DISTINCT lang, 'Directory' FROM documents
+PATHS = f"""WITH entries AS (SELECT {PATH} AS path, 'File' AS kind FROM documents UNION ALL SELECT DISTINCT lang, 'Directory' FROM documents
 UNION ALL SELECT DISTINCT lang || '/' || source, 'Directory' FROM documents UNION ALL SELECT '', 'Directory')"""
 
 SYNC = """SELECT n_name AS store, r_name AS repo_url, (n_nationkey % 2)::VARCHAR AS branch, (n_nationkey % 3)::VARCHAR AS base_commit,
@@ -93,7 +94,7 @@ _VERSIONS = " UNION ALL ".join(f"SELECT '{s}' AS side, doc_id, lang, source, coa
 
 #: sides (side, path, kind, target_id, size, executable), zipped (a row per path), decided (the rows that count).
 ZIPPER = f"""WITH versions AS ({_VERSIONS}),
-leaf AS (SELECT side, lang, source, doc_id, dir, CASE WHEN dir THEN 'inner.txt' ELSE lpad(doc_id::VARCHAR, 8, '0') || '.txt' END AS name, {_PATH} AS place,
+leaf AS (SELECT side, lang, source, doc_id, dir, CASE WHEN dir THEN 'inner.txt' ELSE lpad(doc_id::VARCHAR, 8, '0') || '.txt' END AS name, {PATH} AS place,
     sha256(text || CASE WHEN edit <> '' THEN chr(10) || edit ELSE '' END) AS target_id, octet_length(encode(text || CASE WHEN edit <> '' THEN chr(10) || edit ELSE '' END))::BIGINT AS size, (doc_id % 7 = 0) <> flip AS executable
     FROM versions WHERE there),
 inner_dirs AS (SELECT side, lang, source, lpad(doc_id::VARCHAR, 8, '0') || '.txt' AS name, sha256('{{"entries":[' || {_FILE_ITEM} || '],"type":"Directory"}}') AS object_id FROM leaf WHERE dir),

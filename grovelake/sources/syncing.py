@@ -76,6 +76,22 @@ def directory_at(repo: Repository, root: str, path: str) -> str | None:
     return here
 
 
+#: The rest of the script that ends a conflict; a version that isn't there was removed on its side.
+TAKE = """ in the place of this directory: ./take base, theirs, ours or merged.
+set -e
+here=$(cd "$(dirname "$0")" && pwd)
+case "$1" in
+merged) test -e "$here/merged" || { echo "nothing was merged" >&2; exit 1; } ;;
+base | theirs | ours) ;;
+*) echo "usage: $0 base|theirs|ours|merged" >&2; exit 2 ;;
+esac
+if test -e "$here/$1"; then mv "$here/$1" "$here.taken"; fi
+rm -r "$here"
+if test -e "$here.taken"; then mv "$here.taken" "$here"; fi
+"""
+
+
+
 def merge_directories(repo: Repository, base: str | None, one: str, two: str, limit: int = 1 << 30) -> tuple[str, list[str]]:
     """(id of the merged directory, paths of conflicts). Subtrees that a side takes over are taken by id and not read."""
     spark = repo.spark
@@ -107,7 +123,7 @@ def merge_directories(repo: Repository, base: str | None, one: str, two: str, li
     conflicts = trees.cut_lineage(merge.conflict_text(conflicts))
     held = merge.conflict_entries(conflicts).where("target_id is not null").withColumn("path", F.concat_ws("/", "path", "entry"))
     made = conflicts.select(F.concat_ws("/", "path", F.lit("CONFLICT.txt")).alias("path"), F.encode("text", "utf-8").alias("content"), F.lit(False).alias("executable"))
-    script = F.encode(F.concat(F.lit("#!/bin/bash\n# Conflict resolution script for: "), "name", F.lit('\n# Usage: ./take <base|theirs|ours|merged>\n# Replace this directory by the version that is named.\n')), "utf-8")
+    script = F.encode(F.concat(F.lit("#!/bin/sh\n# Puts a version of "), F.replace("name", F.lit("\n"), F.lit(" ")), F.lit(TAKE)), "utf-8")
     made = made.unionByName(conflicts.select(F.concat_ws("/", "path", F.lit("take")).alias("path"), script.alias("content"), F.lit(True).alias("executable")))
     made = made.unionByName(tried.where("outcome = 'MergeConflict'").select(F.concat_ws("/", "path", F.lit("merged")).alias("path"), "content", F.lit(False).alias("executable")))
     made = trees.cut_lineage(made.unionByName(merged.select("path", "content", "executable")))

@@ -157,7 +157,7 @@ def test_history_contracts(spark):
         assert {r.commit_id: r.distance for r in rows} == want and len(rows) == len(want)
 
 
-def test_commit_history_is_whole(spark):
+def test_commit_chain_is_whole(spark):
     sf = "/root/testdata/sf0.001"
     n = spark.read.parquet(f"{sf}/orders.parquet").count()
     far = {n: 0}
@@ -165,4 +165,4 @@ def test_commit_history_is_whole(spark):
         for j in (i - 1, i - 5) if i % 10 == 0 else (i - 1,):
             far[j] = min(far.get(j, n), far[i] + 1)
     want = {hashlib.sha256(f"commit-{i}".encode()).hexdigest(): d for i, d in far.items()}
-    assert {r.commit_id: r.distance for r in queries.QUERIES["commit_history"](spark, sf).collect()} == want
+    assert {r.commit_id: r.distance for r in queries.QUERIES["commit_chain"](spark, sf).collect()} == want

@@ -72,7 +72,7 @@ def test_removed_directory_against_an_edit_inside_is_one_conflict(spark):
     conflict = merge.decisions(zipped).where("action = 'Conflict'")
     assert [r.entry for r in merge.conflict_entries(conflict).orderBy("entry").collect()] == ["CONFLICT.txt", "base", "ours", "take"]
     note = merge.conflict_text(conflict.withColumn("outcome", F.lit(None).cast("string"))).first().text
-    assert note.startswith("CONFLICT: D\n\n") and "THEIRS (from first branch):\n  Did not exist\n" in note and "  Base -> Theirs: Removed directory\n" in note
+    assert note.startswith("Two branches have changed D ") and "\ntheirs (first branch): Did not exist\n" in note and "\nfrom base to theirs: Removed directory\n" in note
 
 
 @pytest.mark.parametrize(

@@ -145,8 +145,8 @@ def test_functions(spark):
     assert canon.MAX_DIRECTORY == 256
 
 
-def test_local_chunk_places_of_many_copies(spark, tmp_path):
+def test_local_chunk_candidates_of_many_copies(spark, tmp_path):
     docs = [(i, "the same text" if i < 300 else f"text {i % 5}", "en", "web") for i in range(325)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    rows = queries.QUERIES["local_chunk_places"](spark, str(tmp_path)).collect()
+    rows = queries.QUERIES["local_chunk_candidates"](spark, str(tmp_path)).collect()
     assert sorted(r.nth for r in rows) == sorted([*range(1, 257), *[n for n in range(1, 6) for _ in range(5)]])
