@@ -57,7 +57,8 @@ _SECRET_SQL = rf"""
     SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(k, 0)::BIGINT AS n_access, coalesce(h, 0)::BIGINT AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(l, 0)::BIGINT AS n_linked
     FROM docs LEFT JOIN told USING (doc_id)""".replace(repr(KINDS), "[" + ", ".join(map(_quoted, KINDS)) + "]")
 
-_TEMPLATE_ROWS = ", ".join(f"({_quoted(t['name'])}, [{', '.join(map(_quoted, t['pairs']))}])" for t in template_bigrams(TEMPLATES))
+_listed = lambda items: f"[{', '.join(map(_quoted, items))}]"
+_TEMPLATE_ROWS = ", ".join(f"({k}, {_quoted(t['name'])}, {_listed(t['order'])}, {_listed(t['pairs'])}, {_listed(t['anchors'])})" for k, t in enumerate(template_bigrams(TEMPLATES)))
 
 
 def ranks() -> tuple[str, str]:
@@ -197,20 +198,27 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, more - before)))::BIGINT AS taken FROM placed""",
     "op8_secret_scan": _SECRET_SQL,
     "op9_license_scan": rf"""
-        WITH known(name, pairs) AS (VALUES {_TEMPLATE_ROWS}),
+        WITH known(k, name, ord, pairs, anchors) AS (VALUES {_TEMPLATE_ROWS}),
         segments AS (
             SELECT doc_id, unnest(list_concat(string_split(coalesce(text, ''), chr(10)),
                 CASE WHEN contains(text, chr(10) || chr(10)) THEN list_filter(string_split_regex(text, '\n{{2,}}'), lambda p: contains(p, chr(10))) ELSE [] END,
                 CASE WHEN contains(text, chr(10)) THEN [text] ELSE [] END)) AS segment
             FROM documents),
-        worded AS (SELECT doc_id, list_filter(string_split_regex(lower(regexp_replace(segment, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '') AS w FROM segments),
-        paired AS (SELECT doc_id, row_number() OVER () AS s, len(w) - 1 AS n, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS own FROM worded WHERE len(w) BETWEEN 2 AND 1000),
+        worded AS (
+            SELECT doc_id, true AS part, list_filter(string_split_regex(lower(regexp_replace(segment, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '') AS w FROM segments
+            UNION ALL SELECT doc_id, false, list_filter(string_split_regex(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '') FROM documents),
+        paired AS (SELECT doc_id, part, row_number() OVER () AS s, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS own FROM worded WHERE len(w) > 1),
         scored AS (
-            SELECT doc_id, s, name, -2.0::DOUBLE * len(list_intersect(own, pairs)) / (n + len(pairs)) AS d
-            FROM paired JOIN known ON 2.0::DOUBLE * least(n, len(pairs)) / (n + len(pairs)) >= 0.8),
-        best AS (SELECT doc_id, s, min(struct_pack(d := d, name := name)) AS m FROM scored WHERE d <= -0.8 GROUP BY doc_id, s),
-        per AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT m.name, ',' ORDER BY m.name) AS licenses, min(m) AS m FROM best GROUP BY doc_id)
-        SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_matches, coalesce(licenses, '') AS licenses, m.name AS best_license, coalesce(-m.d, 0.0)::DOUBLE AS best_dice
+            SELECT doc_id, s, name, -2.0::DOUBLE * len(list_intersect(own, pairs)) / (len(list_distinct(own)) + len(pairs)) AS d FROM paired, known WHERE part),
+        best AS (SELECT doc_id, true AS part, min(struct_pack(d := d, name := name)) AS m FROM scored WHERE d <= -0.8 GROUP BY doc_id, s),
+        placed AS (
+            SELECT doc_id, k, name, ord, pairs, own, unnest(list_distinct(list_transform(list_filter(range(1, len(own) + 1), lambda i: list_contains(anchors, own[i])), lambda i: greatest(1, i - list_position(ord, own[i]) + 1)))) AS start
+            FROM paired, known WHERE NOT part AND list_has_any(anchors, own)),
+        cut AS (SELECT doc_id, k, name, pairs, list_distinct(own[start:start + len(ord) - 1]) AS own FROM placed),
+        windows AS (SELECT doc_id, false AS part, min(struct_pack(d := -2.0::DOUBLE * len(list_intersect(own, pairs)) / (len(own) + len(pairs)), name := name)) AS m FROM cut GROUP BY doc_id, k),
+        every AS (SELECT * FROM best UNION ALL SELECT * FROM windows WHERE m.d <= -0.8),
+        per AS (SELECT doc_id, count(*) FILTER (part) AS n, count(*) FILTER (NOT part) AS n_w, string_agg(DISTINCT m.name, ',' ORDER BY m.name) AS licenses, min(m) AS m FROM every GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_matches, coalesce(n_w, 0)::BIGINT AS n_windows, coalesce(licenses, '') AS licenses, m.name AS best_license, coalesce(-m.d, 0.0)::DOUBLE AS best_dice
         FROM documents d LEFT JOIN per USING (doc_id)""",
     "op10_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
