@@ -20,9 +20,22 @@ BASE = {
     "access": (r"AKIA[A-Z0-9]+", 0, 20),
     "hex": (r"[0-9a-f]+", 0, 24),
 }
-#: Weak parts: an identifier assigned by name, a long token of mixed letters and digits, an address with a scheme.
+#: Names of identifiers, and access ids of other kinds than the base one.
+ID_NAMES = ("username", "userid", "login", "accountid", "clientid", "keyid")
+ID_PREFIXES = ("ASIA", "AROA", "AIDA", "AGPA", "ANPA", "ABIA", "ACCA")
+
+
+def _either_case(name: str) -> str:
+    """A pattern of an ASCII name in either case, with a hyphen or underline where its id or name begins."""
+    stem = next((name.removesuffix(end) for end in ("name", "id") if name.endswith(end)), name)
+    spelt = lambda part: "".join(f"[{c}{c.upper()}]" for c in part)
+    return spelt(stem) + ("[_-]?" + spelt(name[len(stem) :]) if stem != name else "")
+
+
+#: Weak parts: an identifier assigned by name, in either case and after other words of the name, or known by its prefix; a long
+#: token of mixed letters and digits; an address with a scheme.
 WEAK = {
-    "identifier": r"""(?<![A-Za-z0-9_])(?:user_?name|user_?id|login|account_?id|client_?id|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{4,}""",
+    "identifier": rf"""(?<![A-Za-z0-9_])(?:(?:[A-Za-z0-9]{{1,24}}[_-]){{0,4}}(?:{"|".join(map(_either_case, ID_NAMES))})["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{{4,}}|(?:{"|".join(ID_PREFIXES)})[A-Z0-9]{{16,}})""",
     "opaque": r"[A-Za-z0-9+/_-]{20,}",
     "endpoint": r"""(?<![A-Za-z0-9_])(?:https?|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://[A-Za-z0-9._~:/?#@%&+=-]{4,}""",
 }
