@@ -83,7 +83,11 @@ def near_lanes(text: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id and fingerprint. Null counts as empty; an empty text is one empty paragraph."""
+    """One row per input row: id and fingerprint.
+
+    Null counts as empty; an empty text is one empty paragraph. Texts of any length are read whole, in the row. Repeated rows stay, with
+    equal fingerprints; an empty table stays empty; other columns, one named fingerprint too, are ignored.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col), fingerprint_text(sum_lanes(text), near_lanes(text)).alias("fingerprint"))
 
@@ -100,7 +104,7 @@ def _first_at_least(marks: Column, n: int, value: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, n.bit_length()))), start, halve)["low"]
 
 
-def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_rows: int = 1024, most_slices: int = 4096) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_rows: int = 1024, even_slices: int = 4096, wide_rows: int = 32768) -> DataFrame:
     """One row per input row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text is the text with its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
@@ -108,15 +112,16 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     empty; null ids come last. Rows that repeat an id come in the order of their texts, descending. An empty table gives an
     empty result; other columns are ignored.
 
-    Texts are shuffled once, by slices of the order of ids: about slice_rows rows each, most_slices at most. The largest id of a
-    slice is also dealt to the slice above, whose smallest id it follows; each row meets the next in a window.
+    Texts of any length are read whole. They are shuffled once, by slices of the order of ids: of about slice_rows rows each up
+    to even_slices; beyond, slices grow to wide_rows rows and then their number grows with the table. The largest id of
+    a slice is also dealt to the slice above, whose smallest id it follows; each row meets the next in a window.
     """
     rows, plain = keyed_or_numbered(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")), "_id", "_text")
     n_rows = rows.count()
     up = F.col("_rk") if plain else F.when(F.col("_id").isNull(), F.col("_rk") - n_rows).otherwise(F.col("_rk"))
     rows = rows.select("_id", "_text", up.alias("_up"))
-    n = max(1, min(most_slices, n_rows // slice_rows))
-    found = rows.agg(F.percentile_approx("_up", [(i + 1) / n for i in range(n)], 20 * n), F.max("_up")).first()
+    n = max(1, min(even_slices, n_rows // slice_rows), n_rows // wide_rows)
+    found = rows.agg(F.percentile_approx("_up", [(i + 1) / n for i in range(n)], min(20 * n, 1 << 22)), F.max("_up")).first()
     marks = sorted({*(found[0] or []), found[1] or 0})
     n = len(marks)
     bound = F.split(F.lit(",".join(map(str, marks))), ",").cast("array<bigint>")
