@@ -1,15 +1,16 @@
 """Byte-level BPE encoding and decoding by merge replay over the corpus.
 
-1. Texts are cut into words by the tokenizer's pattern. A block of texts keeps its distinct words once, as a dictionary; each
-   text becomes the places of its words in it.
-2. The dictionaries of all blocks are dealt out and sorted by word, so that every distinct word of the corpus is encoded
-   once: a slice of the corpus's vocabulary is laid out as one sequence of byte tokens with links between neighbours; an
-   inverted index lists, for each pair of tokens, its positions; all merges are replayed in rank order over the whole
-   slice, each visiting only the positions of its pairs and re-indexing only the neighbours that it has touched.
+1. Texts are cut into words by the tokenizer's pattern. A block of texts keeps its distinct words once, as a dictionary in chunks
+   by the words' hashes; each text becomes the places of its words in it.
+2. The chunks of all blocks are dealt out by hash, so that every distinct word of the corpus is encoded by one task, once (again
+   only after its bounded memory of words was cleared): new words are laid out as one sequence of byte tokens with links
+   between neighbours; an inverted index lists, for each pair of tokens, its positions; all merges are replayed in rank
+   order over all of them, each visiting only the positions of its pairs and re-indexing only the neighbours that it has touched.
 3. The ids of a block's words come back to its texts, and each text's places are replaced by ids.
 
-Words don't interact, so slices give the ids that any other cut of the vocabulary would. Texts aren't shuffled, only
-their places. No vocabulary of the corpus has to fit anywhere: a task holds a slice of it, or a block's dictionary.
+Words don't interact, so these are the ids that any other cut of the vocabulary would give. Texts aren't shuffled, only
+their places, compressed. No vocabulary of the corpus has to fit anywhere: a task holds a block's dictionary, or a bounded
+part of those words that fall to it.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import islice
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from zstandard import ZstdCompressor, ZstdDecompressor
 
 from .common import sliced, stored
 
-#: Characters of text in a block (a longer text is a block), words or ids handled at a time in a text, rows of dictionaries in
-#: a slice, and merged pairs that are remembered between slices.
-BLOCK_CHARS, CHUNK, SLICE, KEPT_PAIRS = 1 << 22, 1 << 18, 1 << 16, 1 << 17
+#: Characters of text in a block (a longer text is a block), and words or ids handled at a time in a text.
+BLOCK_CHARS, CHUNK = 1 << 24, 1 << 18
+#: New words replayed together, encoded words and merged pairs that a task remembers, and the least number of chunks of a dictionary.
+REPLAYED, KEPT_WORDS, KEPT_PAIRS, LEAST_CHUNKS = 1 << 16, 1 << 18, 1 << 17, 64
 
 
 class Vocabulary:
@@ -123,16 +127,16 @@ class Vocabulary:
         ends = [*starts[1:], len(token)]
         return [self.one_by_one(word) if k in again else [t for t in token[start:end] if t >= 0] for k, (word, start, end) in enumerate(zip(words, starts, ends, strict=True))]
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
+    def encode_words(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
         """The ids of each distinct word, as little-endian unsigned 32-bit integers. A word that is a token is that token."""
-        out, rest = {}, {}
+        out, rest = {}, []
         for w in {*words}:
-            whole = self.ranks.get(raw := w.encode())
+            whole = self.ranks.get(w)
             if whole is None:
-                rest[w] = raw
+                rest.append(w)
             else:
                 out[w] = whole.to_bytes(4, "little")
-        for w, ids in zip(rest, self.replay([*rest.values()]), strict=True):
+        for w, ids in zip(rest, self.replay(rest), strict=True):
             out[w] = np.array(ids, "<u4").tobytes()
         return out
 
@@ -166,32 +170,49 @@ class Block:
         self.texts.append(np.concatenate(places) if places else np.empty(0, np.uint32))
 
 
+def packed(parts: list[bytes]) -> bytes:
+    """Byte strings with their lengths, compressed."""
+    return ZstdCompressor(1).compress(np.array([len(parts), *map(len, parts)], "<u4").tobytes() + b"".join(parts))
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, bytes]:
+    """The lengths of packed byte strings, and all of them in a row."""
+    whole = ZstdDecompressor().decompress(data)
+    n = int.from_bytes(whole[:4], "little")
+    return np.frombuffer(whole, "<u4", n, 4).astype(np.int64), whole[4 * n + 4 :]
+
+
 def place_type(words: int) -> str:
     """Of the places in a dictionary, as stored."""
     return "<u2" if words <= 1 << 16 else "<u4"
 
 
-def cut(docs: DataFrame, pattern: str) -> DataFrame:
-    """block, role, ix, word, data, _row: the words of each block (role 0, at ix) and its texts (role 1: data are the places of
-    their words), of docs: _row, _text."""
-    row_type = docs.schema["_row"].dataType
-    schema = T.StructType().add("block", "long").add("role", "integer").add("ix", "integer").add("word", "string").add("data", "binary").add("_row", row_type)
+def cut(docs: DataFrame, pattern: str, chunks: int) -> DataFrame:
+    """block, role, ix, data, _row of docs (_row, _text): the chunks of each block's dictionary (role 0, chunk ix) and its texts
+    (role 1; data are the places of their words in all chunks in a row)."""
+    schema = T.StructType().add("block", "long").add("role", "integer").add("ix", "integer").add("data", "binary").add("_row", docs.schema["_row"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern)
         number = TaskContext.get().partitionId() << 32
         block, rows = Block(find), []
 
+        def made(role: int, ix: list[int], data: list[bytes], row: pa.Array) -> pa.RecordBatch:
+            k = len(data)
+            return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(number, pa.int64()), k), pa.repeat(pa.scalar(role, pa.int32()), k), pa.array(ix, pa.int32()), pa.array(data, pa.binary()), row], names=schema.names)
+
         def ended() -> Iterator[pa.RecordBatch]:
-            n, k = len(block.words), len(block.texts)
-            for i in range(0, n, SLICE):
-                words = [*islice(block.words, i, i + SLICE)]
-                m = len(words)
-                nulls = pa.nulls(m, rows[0].type)
-                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(number, pa.int64()), m), pa.repeat(pa.scalar(0, pa.int32()), m), pa.array(range(i, i + m), pa.int32()), pa.array(words, pa.string()), pa.nulls(m, pa.binary()), nulls], names=schema.names)
-            kind = place_type(n)
-            data = pa.array([x.astype(kind).tobytes() for x in block.texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(number, pa.int64()), k), pa.repeat(pa.scalar(1, pa.int32()), k), pa.repeat(pa.scalar(0, pa.int32()), k), pa.nulls(k, pa.string()), data, pa.concat_arrays(rows)], names=schema.names)
+            words = [w.encode() for w in block.words]
+            chunk = np.fromiter((crc32(w) % chunks for w in words), np.int64, len(words))
+            order = np.argsort(chunk, kind="stable")
+            ends = np.searchsorted(chunk[order], np.arange(chunks + 1))
+            ix = [i for i in range(chunks) if ends[i] < ends[i + 1]]
+            data = [packed([words[k] for k in order[ends[i] : ends[i + 1]].tolist()]) for i in ix]
+            yield made(0, ix, data, pa.nulls(len(ix), rows[0].type))
+            place = np.empty(len(words), place_type(len(words)))
+            place[order] = np.arange(len(words))
+            data = [ZstdCompressor(1).compress(place[x].tobytes()) for x in block.texts]
+            yield made(1, [0] * len(data), data, pa.concat_arrays(rows))
 
         for batch in sliced(batches, "_text"):
             start = 0
@@ -209,20 +230,35 @@ def cut(docs: DataFrame, pattern: str) -> DataFrame:
     return docs.select("_row", "_text").mapInArrow(run, schema)
 
 
-def encoded_words(words: DataFrame, path: str) -> DataFrame:
-    """block, ix, ids of words (block, ix, word): rows are dealt out by word and sorted, and each distinct word is encoded once."""
-    schema = T.StructType().add("block", "long").add("ix", "integer").add("ids", "binary")
+def encoded_chunks(words: DataFrame, path: str) -> DataFrame:
+    """block, ix, data of words (block, ix, data): the packed ids of each word in place of the words."""
+    schema = T.StructType().add("block", "long").add("ix", "integer").add("data", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
-        last: dict[str, bytes] = {}  # a word's rows may go on in the next slice
-        for batch in batches:
-            words = batch.column("word").to_pylist()
-            known = vocab.encode_words(w for w in {*words} if w not in last) | last
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("ix"), pa.array([known[w] for w in words], pa.binary())], names=schema.names)
-            last = {words[-1]: known[words[-1]]} if words else last
-
-    return words.repartition("word").sortWithinPartitions("word").select("block", "ix", "word").mapInArrow(run, schema)
+        vocab, known, last = vocabulary(path), {}, None
+        for batch in sliced(batches, "data"):
+            given = []
+            for ix, data in zip(batch.column("ix").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                sizes, whole = unpacked(data)
+                ends = np.cumsum(sizes).tolist()
+                given.append((ix, [whole[a:b] for a, b in zip([0, *ends], ends)]))
+            start, out = 0, []
+            while start < len(given):
+                # As many chunks as have so many new words; those of another chunk's number have other words.
+                new, stop = set(), start
+                while stop < len(given) and (stop == start or len(new) < REPLAYED):
+                    if given[stop][0] != last or len(known) > KEPT_WORDS:
+                        if stop > start:
+                            break
+                        known, last = {}, given[stop][0]
+                    new.update(w for w in given[stop][1] if w not in known)
+                    stop += 1
+                known |= vocab.encode_words(new)
+                out += [packed([known[w] for w in chunk]) for _, chunk in given[start:stop]]
+                start = stop
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("ix"), pa.array(out, pa.binary())], names=schema.names)
+
+    return words.repartition("ix").sortWithinPartitions("ix").select("block", "ix", "data").mapInArrow(run, schema)
 
 
 def bpe_encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
@@ -234,8 +270,9 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text")
     """
     rest = [c for c in docs.columns if c not in (text_col, "ids", "n_tokens")]
     given = docs.select(F.struct(*rest, F.lit(0).alias("_")).alias("_row"), F.col(text_col).alias("_text"))
-    blocks = stored(cut(given, pattern), "blocks")
-    words = encoded_words(blocks.where("role = 0").select("block", "ix", "word"), path)
+    chunks = max(LEAST_CHUNKS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    blocks = stored(cut(given, pattern, chunks), "blocks")
+    words = encoded_chunks(blocks.where("role = 0").select("block", "ix", "data"), path)
     texts = blocks.where("role = 1").select("block", "role", "ix", "data", "_row")
     row_type = given.schema["_row"].dataType
     schema = T.StructType().add("_row", row_type).add("ids", "binary").add("n_tokens", "long")
@@ -244,28 +281,23 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text")
         block, entries, table = None, [], None
         for batch in sliced(batches, "data"):
             numbers, roles = (batch.column(k).to_numpy() for k in ("block", "role"))
-            data = batch.column("data")
             out: list[bytes] = []
-            bounds = np.flatnonzero(np.diff(numbers) | np.diff(roles)) + 1
-            for start, stop in zip([0, *bounds.tolist()], [*bounds.tolist(), len(roles)], strict=True):
-                if stop == start:
-                    continue
-                if numbers[start] != block:
-                    block, entries, table = numbers[start], [], None
-                part = data.slice(start, stop - start).to_pylist()
-                if roles[start] == 0:
-                    entries += part
+            for number, role, data in zip(numbers.tolist(), roles.tolist(), batch.column("data").to_pylist(), strict=True):
+                if number != block:
+                    block, entries, table = number, [], None
+                if role == 0:
+                    entries.append(unpacked(data))
                     continue
                 if table is None:
-                    sizes = np.array([len(x) // 4 for x in entries], np.int64)
-                    table = (np.frombuffer(b"".join(entries), "<u4"), np.cumsum(sizes) - sizes, sizes, place_type(len(entries)))
+                    sizes = np.concatenate([n for n, _ in entries] or [np.empty(0, np.int64)]) // 4
+                    table = (np.frombuffer(b"".join(ids for _, ids in entries), "<u4"), np.cumsum(sizes) - sizes, sizes, place_type(len(sizes)))
                     entries = []
-                out += [with_ids(x, *table) for x in part]
+                out.append(with_ids(ZstdDecompressor().decompress(data), *table))
             rows = batch.column("_row").filter(pa.array(roles == 1))
             yield pa.RecordBatch.from_arrays([rows, pa.array(out, pa.binary()), pa.array([len(x) // 4 for x in out], pa.int64())], names=schema.names)
 
     missing = F.lit(None).cast(row_type).alias("_row")
-    both = texts.unionByName(words.select("block", F.lit(0).alias("role"), "ix", F.col("ids").alias("data"), missing))
+    both = texts.unionByName(words.select("block", F.lit(0).alias("role"), "ix", "data", missing))
     done = both.repartition("block").sortWithinPartitions("block", "role", "ix").mapInArrow(run, schema)
     return done.select(*[F.col("_row").getField(c).alias(c) for c in rest], "ids", "n_tokens")
 
