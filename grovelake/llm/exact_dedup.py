@@ -43,7 +43,8 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of docs, all columns, of which exact_dedup says kept."""
     rows = keyed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct("*").alias("_row")), "_id", "_text")
     kept = stored(_identified(rows.select("_rk", "_id", "_text"), block_bytes, 64).where("kept").select("_rk"), "kept")
-    return rows.join(kept, "_rk", "left_semi").select("_row.*")
+    # The ids grow with the corpus: this join is a shuffle at every size.
+    return rows.join(kept.hint("merge"), "_rk", "left_semi").select("_row.*")
 
 
 def _identified(rows: DataFrame, block_bytes: int, hash_bits: int) -> DataFrame:

@@ -83,4 +83,5 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """
     rows = keyed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).alias("_source"), F.struct("*").alias("_row")), "_id", "_text")
     copies = stored(mix(rows.select("_rk", "_text", "_source"), "_rk", "_text", "_source", **how).where("copies > 0").select("_rk", "copies"), "copies")
-    return rows.join(copies, "_rk").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("_row.*")
+    # The ids grow with the corpus: this join is a shuffle at every size.
+    return rows.join(copies.hint("merge"), "_rk").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("_row.*")

@@ -225,7 +225,8 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows of docs, all columns, of which near_dedup says kept: one of each component."""
     rows, plain = keyed_or_numbered(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct("*").alias("_row")), "_id", "_text")
     kept = stored(_grouped(rows.select("_rk", "_id", "_text"), plain, width, percent, 2, 0.55).where("kept").select("_rk"), "kept")
-    return rows.join(kept, "_rk", "left_semi").select("_row.*")
+    # The ids grow with the corpus: this join is a shuffle at every size.
+    return rows.join(kept.hint("merge"), "_rk", "left_semi").select("_row.*")
 
 
 def _grouped(rows: DataFrame, plain: bool, width: int, percent: int, star_rounds: int, estimate: float) -> DataFrame:
