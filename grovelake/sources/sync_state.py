@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
 from dataclasses import asdict, dataclass
 
+from pyspark.sql import SparkSession
+
+from .hadoop_fs import Folder, uri
+
 
 @dataclass(frozen=True)
 class SyncState:
@@ -17,19 +20,14 @@ class SyncState:
 
 
 class StateFile:
-    """Current and next state in a store's hidden folder, each written beside its place and renamed."""
-
-    def __init__(self, store: str):
-        self.folder = os.path.join(store, ".tfs")
+    """Current and next state in a store's hidden folder, in any file system that Spark knows."""
 
-    def _path(self, slot: str) -> str:
-        return os.path.join(self.folder, f"sync_{slot}.json")
+    def __init__(self, store: str, spark: SparkSession | None = None):
+        self.files = Folder(spark or SparkSession.active(), f"{uri(store)}/.tfs")
 
     def _read(self, slot: str) -> SyncState | None:
-        if not os.path.exists(self._path(slot)):
-            return None
-        with open(self._path(slot)) as f:
-            return SyncState(**json.load(f))
+        text = self.files.read(f"sync_{slot}.json")
+        return SyncState(**json.loads(text)) if text else None
 
     def current(self) -> SyncState | None:
         return self._read("current")
@@ -39,16 +37,13 @@ class StateFile:
 
     def set_next(self, state: SyncState | None) -> None:
         if state is None:
-            if os.path.exists(self._path("next")):
-                os.remove(self._path("next"))
+            if self.files.exists("sync_next.json"):
+                self.files.delete("sync_next.json")
             return
-        os.makedirs(self.folder, exist_ok=True)
-        with open(self._path("next") + ".new", "w") as f:
-            json.dump(asdict(state), f)
-        os.replace(self._path("next") + ".new", self._path("next"))
+        self.files.replace("sync_next.json", json.dumps(asdict(state)))
 
     def commit_next(self) -> None:
         """Make the next state the current one."""
         if self.next() is None:
             raise ValueError("there is no next state")
-        os.replace(self._path("next"), self._path("current"))
+        self.files.move("sync_next.json", "sync_current.json")

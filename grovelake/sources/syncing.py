@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chunks, merge, reconcile, sync, trees, walk
 from . import file_store
-from .repository import Repository
+from .repository import PathError, Repository
 from .sync_state import StateFile, SyncState
 
 
@@ -65,15 +65,10 @@ def graft(repo: Repository, root: str, path: str, directory: str) -> str:
 
 def directory_at(repo: Repository, root: str, path: str) -> str | None:
     """The id of the directory at a path below a root, None where there is none."""
-    names = [p for p in path.split("/") if p]
-    here: str | None = root
-    for name in names:
-        start = repo.spark.createDataFrame([("", here)], "list string, object_id string")
-        row = walk.list_directory(repo.structures(), start).where((F.col("name") == name) & (F.col("kind") == "Directory")).first()
-        if row is None:
-            return None
-        here = row.target_id
-    return here
+    try:
+        return repo.resolve_to_directory(root, path)
+    except PathError:
+        return None
 
 
 #: The rest of the script that ends a conflict; a version that isn't there was removed on its side.
@@ -161,7 +156,7 @@ def add_sync(repo: Repository, url: str, store: str, repo_dir: str, branch: str
     root = repo.read(repo.current_root(), "Root")
     branch = branch or root["defaultBranchName"]
     head = repo.branches(root["branches"]).where(F.col("name") == branch).first().commit_id
-    state = StateFile(store)
+    state = StateFile(store, repo.spark)
     at = directory_at(repo, repo.read(head, "Commit")["directory"], repo_dir)
     held = scanned(repo, at).count() if at else 0
     files = file_store.entries(repo.spark, store).where("kind = 'File'").count()
@@ -194,7 +189,7 @@ def run_syncs(repo: Repository, url: str, stores: list[str], force: bool = False
     results: dict[str, dict] = {}
     items = []
     for s in stores:
-        file = StateFile(s)
+        file = StateFile(s, repo.spark)
         state = file.current()
         if file.next() is not None:
             if not force:
@@ -231,7 +226,7 @@ def run_syncs(repo: Repository, url: str, stores: list[str], force: bool = False
         root = repo.read(repo.update(publish), "Root")
         heads = {r.name: r.commit_id for r in repo.branches(root["branches"]).collect()}
         for r in planned:
-            head, file = heads[r.branch], StateFile(r.store)
+            head, file = heads[r.branch], StateFile(r.store, repo.spark)
             file.set_next(replace(file.next() or file.current(), base_commit=head))
             at = directory_at(repo, repo.read(head, "Commit")["directory"], r.repo_dir)
             if at:

@@ -150,3 +150,55 @@ def test_local_chunk_candidates_of_many_copies(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = queries.QUERIES["local_chunk_candidates"](spark, str(tmp_path)).collect()
     assert sorted(r.nth for r in rows) == sorted([*range(1, 257), *[n for n in range(1, 6) for _ in range(5)]])
+
+
+def test_contents_of_names_that_spark_passes_over(spark, tmp_path):
+    (tmp_path / "pkg").mkdir()
+    for name in ("__init__.py", ".gitignore", "_x", "a b%20.txt"):
+        (tmp_path / "pkg" / name).write_bytes(name.encode())
+    got = {r.path: bytes(r.content) for r in file_store.contents(spark, str(tmp_path)).collect()}
+    assert got == {f"pkg/{n}": n.encode() for n in ("__init__.py", ".gitignore", "_x", "a b%20.txt")}
+    some = spark.createDataFrame([("pkg/_x",), ("pkg",), ("none",)], "path string")
+    assert [r.path for r in file_store.contents(spark, str(tmp_path), some).collect()] == ["pkg/_x"]
+
+
+def test_repository_and_store_in_another_file_system(spark, tmp_path):
+    """viewfs:// is a scheme that only Hadoop's FileSystem and Spark's readers understand."""
+    from grovelake.sources.hadoop_fs import Folder
+    from grovelake.sources.repository import PathError
+    from grovelake.sources.sync_state import StateFile, SyncState
+
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.own.link./r", f"file://{tmp_path}")
+    repo = Repository(spark, "viewfs://own/r/repo")
+    first = repo.initialize()
+    assert repo.current_root() == first and repo.branch("no") is None
+    commit = repo.branch()
+    empty = repo.directory(commit)
+    assert repo.entries(empty).count() == 0 and repo.find_entry(empty, "a") is None
+    assert repo.resolve_to_directory(empty, "//") == empty
+    with pytest.raises(PathError, match="NotFound: a/b"):
+        repo.resolve_to_directory(empty, "a/b")
+    assert repo.swap_current_root("other", "x") == (False, first) and repo.swap_current_root(first, "x") == (True, "x")
+    assert Repository(spark, str(tmp_path / "repo")).current_root() == "x"
+    with pytest.raises(FileExistsError):
+        repo.initialize()
+
+    (tmp_path / "store/d e").mkdir(parents=True)
+    (tmp_path / "store/d e/f.txt").write_bytes(b"abc")
+    got = {(r.path, r.kind, r.size, r.executable) for r in file_store.entries(spark, "viewfs://own/r/store").collect()}
+    assert {("d e", "Directory", None, None), ("d e/f.txt", "File", 3, False)} == got
+    assert {r.path: bytes(r.content) for r in file_store.contents(spark, "viewfs://own/r/store").collect()}["d e/f.txt"] == b"abc"
+    with pytest.raises(ValueError):
+        file_store.apply(spark.createDataFrame([], "path string, step int, action string, target_id string, executable boolean"), "viewfs://own/r/store", None)
+
+    state = StateFile("viewfs://own/r/store", spark)
+    one = SyncState("now", "u", "/", "main", "c")
+    state.set_next(one)
+    state.commit_next()
+    assert state.current() == one and state.next() is None
+    for place in ("viewfs://own/r/files", str(tmp_path / "files2")):
+        files = Folder(spark, place)
+        assert files.create("a/b", "1") and not files.create("a/b", "2") and files.read("a/b") == "1" and files.read("none") is None
+        files.replace("a/b", "3")
+        assert files.read("a/b") == "3" and files.names("a") == ["b"] and files.names("z") == []

@@ -39,8 +39,8 @@ def test_two_stores_and_a_conflict(spark, tmp_path):
     assert (b / "same/theirs").read_text() == "A" and (b / "same/ours").read_text() == "B"
 
 
-def test_states(tmp_path):
-    file = StateFile(str(tmp_path))
+def test_states(spark, tmp_path):
+    file = StateFile(str(tmp_path), spark)
     assert file.current() is file.next() is None
     with pytest.raises(ValueError):
         file.commit_next()
