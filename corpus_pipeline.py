@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame that is written as
 Parquet and read again as the next one's docs; all but the last return the columns of documents.
+
+Every stage reads whole texts of any length; null texts count as empty, null ids and sources are values of their own, rows that
+repeat an id are rows of their own, an empty table gives an empty one, and other columns of docs pass through to the last stage
+whatever their names.
 """
 
 from __future__ import annotations
@@ -21,31 +25,38 @@ QUALITY = 0.3
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line classifier rejects go. It learns from the labelled rows that aren't held out."""
+    """Documents that the line classifier rejects go. It learns from the labelled rows that aren't held out.
+
+    An empty text has the score of a document with one empty line; without labels to learn from every document stays.
+    """
     known = ~held_out(F.col("doc_id"))
     model = train(docs.where(known), table(spark, sf_dir, "labels").where(known))
     return good_documents(docs, model, QUALITY)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for white space, the smallest id stays."""
+    """Of texts that are equal but for white space, the smallest id stays, null ids last; of rows equal in both, one."""
     return without_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 over five-word shingles, the smallest id stays."""
+    """Of documents linked by a similarity of 0.8 over five-word shingles, the smallest id stays; texts without words all do."""
     return without_near_copies(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: a document stands as many times as the mix takes it."""
+    """Sources at their target weights: a document stands as many times as the mix takes it. Rows without a source are a source."""
     return mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (little-endian unsigned 32-bit integers) of each text, and digests of the ids and of what they decode to."""
+    """Token ids (little-endian unsigned 32-bit integers) of each text, and digests of the ids and of what they decode to.
+
+    One row for each row of docs, repeated ones too; a null or empty text has no ids. Other columns end here.
+    """
     coded = bpe_decode(bpe_encode(docs.select("doc_id", "lang", "source", "text"), *ranks()), ranks()[0])
-    return coded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    digests = F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    return coded.select("doc_id", "lang", "source", "n_tokens", "ids", *digests)
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact_copies), ("near_dedup", near_copies), ("mixing", mixture), ("bpe", tokens)]
