@@ -3,53 +3,18 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import canon, text
-from .operators import chunks, reconcile, trees, walk
-from .sources import file_store
+from .operators import chunks, walk
+from .sources import file_store, syncing
 from .sources.repository import Repository
 
 
-def upload(repo: Repository, folder: str) -> str:
-    """Store the files below a folder; the id of its directory."""
-    spark = repo.spark
-    entries = trees.cut_lineage(file_store.entries(spark, folder))
-    files = entries.where("kind = 'File'")
-    cut = chunks.chunk_contents(file_store.contents(spark, folder, files), "content", ["path"])
-    repo.write(cut.select(F.col("chunk_id").alias("object_id"), "bytes"))
-    ids, nodes = chunks.file_ids(cut.drop("bytes"), files, "path")
-    repo.write_structures(nodes)
-    placed = files.join(ids.select("path", F.col("object_id").alias("target_id")), "path").select("path", "size", "executable", "target_id")
-    dirs, nodes = trees.tree(placed, entries.where("kind = 'Directory'").select("path"))
-    repo.write_structures(nodes)
-    return dirs.where("path = ''").first().object_id
-
-
-def scanned(repo: Repository, directory: str) -> DataFrame:
-    return walk.scan(repo.structures(), repo.spark.createDataFrame([(directory,)], "object_id string"))
-
-
-def download(repo: Repository, directory: str, folder: str, dry: bool = False) -> list[str]:
-    """Bring a folder to the state of a directory; the lines of the plan."""
-    spark = repo.spark
-    store = file_store.entries(spark, folder).select("path", "kind", "executable", "fingerprint", F.lit(None).cast("string").alias("cached_fingerprint"), F.lit(None).cast("string").alias("cached_id"))
-    found = trees.cut_lineage(scanned(repo, directory).where("path <> ''"))
-    steps = trees.cut_lineage(reconcile.plan(found.select("path", "kind", "target_id", "executable"), store))
-    lines = [r.line for r in reconcile.rendered(reconcile.in_order(steps)).collect()]
-    if not dry:
-        wanted = steps.where("action = 'download'").select(F.col("target_id").alias("list"), F.col("target_id").alias("object_id")).distinct()
-        parts = walk.list_file(repo.structures(), wanted).join(repo.objects().select(F.col("object_id").alias("target_id"), "bytes"), "target_id")
-        data = parts.groupBy("list").agg(F.array_sort(F.collect_list(F.struct("at", "bytes"))).alias("p"))
-        whole = data.select(F.col("list").alias("target_id"), F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["bytes"])).alias("content"))
-        empty = wanted.join(data, "list", "left_anti").select(F.col("list").alias("target_id"), F.lit(b"").alias("content"))
-        file_store.apply(steps, folder, whole.unionByName(empty))
-    return lines
-
-
 def listed(entries: DataFrame, long: bool, json: bool, classify: bool) -> list[str]:
     """Lines of a listing of entries (name, kind, size, executable, target_id), by name."""
     rows = entries.orderBy("name")
@@ -83,10 +48,15 @@ def main(argv: list[str] | None = None) -> int:
     for name, args in {
         "initialize": (), "info": (), "get-current-root": (), "set-current-root": ("root",), "exists": ("id",), "read": ("id",),
         "upload-directory": ("folder",), "download-directory": ("id", "folder"), "ls": ("id",), "scan": ("folder",), "source-chunks": ("folder",),
+        "write": ("file",), "upload-file": ("file",), "download-file": ("id", "file"), "branches": (), "resolve": ("id", "path"), "add-sync": ("store", "directory"), "sync": ("store",),
     }.items():
         sub = commands.add_parser(name)
         for a in args:
-            sub.add_argument(a)
+            sub.add_argument(a, nargs="+" if (name, a) == ("sync", "store") else None)
+        if name == "add-sync":
+            sub.add_argument("--branch", default=None)
+        if name == "sync":
+            sub.add_argument("--force", action="store_true")
         if name == "ls":
             for flag in ("--long", "--json", "--classify"):
                 sub.add_argument(flag, action="store_true")
@@ -112,7 +82,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "read":
         out = [repo.read(a.id).decode("utf-8", "replace")]
     elif a.command == "upload-directory":
-        directory = upload(repo, a.folder)
+        directory = syncing.upload(repo, a.folder)
 
         def publish(current: str) -> str:
             root = repo.read(current, "Root")
@@ -123,7 +93,31 @@ def main(argv: list[str] | None = None) -> int:
 
         out = [directory, repo.update(publish)]
     elif a.command == "download-directory":
-        out = download(repo, a.id, a.folder, a.dry_run)
+        out = syncing.download(repo, a.id, a.folder, a.dry_run)
+    elif a.command == "write":
+        with open(a.file, "rb") as f:
+            row = spark.createDataFrame([(f.read(),)], "bytes binary").select(canon.object_id(F.col("bytes")).alias("object_id"), "bytes")
+        repo.write(row)
+        out = [row.first().object_id]
+    elif a.command == "upload-file":
+        with open(a.file, "rb") as f:
+            out = [syncing.store_files(repo, spark.createDataFrame([(a.file, f.read())], "path string, content binary")).first().target_id]
+    elif a.command == "download-file":
+        row = syncing.file_contents(repo, spark.createDataFrame([(a.id,)], "target_id string")).first()
+        repo.read(a.id, "File")
+        with open(f"{a.file}.part", "wb") as f:
+            f.write(row.content)
+        os.replace(f"{a.file}.part", a.file)
+    elif a.command == "branches":
+        out = [f"{r.name} {r.commit_id}" for r in repo.branches(repo.root()["branches"]).orderBy("name").collect()]
+    elif a.command == "resolve":
+        got = repo.resolve(a.id, a.path)
+        out = [" ".join(x for x in (got["found"], got["target_id"]) if x)]
+    elif a.command == "add-sync":
+        out = [syncing.add_sync(repo, repo.files.uri, a.store, a.directory, a.branch)]
+    elif a.command == "sync":
+        for r in syncing.run_syncs(repo, repo.files.uri, a.store, a.force):
+            out.append(f"{r['store']}: {'synced' if r['ok'] else r.get('reason')}" + "".join(f"\n  conflict: {c}" for c in r["conflicts"]))
     elif a.command == "ls":
         start = spark.createDataFrame([("", a.id)], "list string, object_id string")
         out = listed(walk.list_directory(repo.structures(), start), a.long, a.json, a.classify)

@@ -142,12 +142,13 @@ def merge_commits(repo: Repository, base: str, one: str, two: str, limit: int =
     return repo.next_commit(one, merged, (two,), **metadata), conflicts
 
 
-def download(repo: Repository, directory: str, folder: str) -> list[str]:
-    """Bring a folder to the state of a directory; the lines of the plan."""
+def download(repo: Repository, directory: str, folder: str, dry: bool = False) -> list[str]:
+    """Bring a folder to the state of a directory; the lines of the plan, which is all that is made of it if dry."""
     store = file_store.entries(repo.spark, folder).select("path", "kind", "executable", "fingerprint", F.lit(None).cast("string").alias("cached_fingerprint"), F.lit(None).cast("string").alias("cached_id"))
     steps = trees.cut_lineage(reconcile.plan(scanned(repo, directory).select("path", "kind", "target_id", "executable"), store))
     lines = [r.line for r in reconcile.rendered(reconcile.in_order(steps)).collect()]
-    file_store.apply(steps, folder, file_contents(repo, steps.where("action = 'download'")))
+    if not dry:
+        file_store.apply(steps, folder, file_contents(repo, steps.where("action = 'download'")))
     return lines
 
 

@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from grovelake import cli
+from grovelake.sources import syncing
 from grovelake.sources.repository import Repository
 from grovelake.streaming import changes
 
@@ -28,7 +29,22 @@ def test_upload_and_download_round_trip(spark, tmp_path, capsys):
     cli.main([repo, "download-directory", directory, str(other)])
     assert (other / "a/f.bin").read_bytes() == (store / "a/f.bin").read_bytes() and (other / "zero").read_bytes() == b""
     assert os.access(other / "run", os.X_OK) and (other / "a/empty").is_dir() and not (other / "old").exists()
-    assert cli.upload(Repository(spark, repo), str(other)) == directory
+    assert syncing.upload(Repository(spark, repo), str(other)) == directory
+
+
+def test_files_branches_and_paths(spark, tmp_path, capsys):
+    repo, file = str(tmp_path / "repo"), tmp_path / "one file"
+    file.write_bytes(b"\x00abc" * 50_000)
+    told = lambda *args: (cli.main([repo, *args]), capsys.readouterr().out.strip())[1]
+    told("initialize")
+    chunk = told("write", str(file))
+    assert told("exists", chunk) == "true"
+    whole = told("upload-file", str(file))
+    told("download-file", whole, str(tmp_path / "copy"))
+    assert (tmp_path / "copy").read_bytes() == file.read_bytes()
+    name, commit = told("branches").split()
+    directory = Repository(spark, repo).directory(commit)
+    assert name == "main" and told("resolve", directory, "/") == f"Root {directory}" and told("resolve", directory, "x") == "None"
 
 
 def test_columns():
