@@ -170,26 +170,29 @@ class Block:
         self.texts.append(np.concatenate(places) if places else np.empty(0, np.uint32))
 
 
-def packed(parts: list[bytes]) -> bytes:
-    """Byte strings with their lengths, compressed."""
-    return ZstdCompressor(1).compress(np.array([len(parts), *map(len, parts)], "<u4").tobytes() + b"".join(parts))
+def planes(values: np.ndarray) -> bytes:
+    """Numbers of four bytes as all their lowest bytes, then all the next, and so on: small ones compress well that way."""
+    return np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def unpacked(data: bytes) -> tuple[np.ndarray, bytes]:
-    """The lengths of packed byte strings, and all of them in a row."""
-    whole = ZstdDecompressor().decompress(data)
-    n = int.from_bytes(whole[:4], "little")
-    return np.frombuffer(whole, "<u4", n, 4).astype(np.int64), whole[4 * n + 4 :]
+def unplaned(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
+def packed(ix: np.ndarray, sizes: np.ndarray, rest: bytes) -> bytes:
+    """Some words of a dictionary, compressed: their ascending numbers in it, the length of what stands for each, and that in a row."""
+    return ZstdCompressor(3).compress(len(ix).to_bytes(4, "little") + planes(np.diff(ix, prepend=0)) + planes(sizes) + rest)
 
 
-def place_type(words: int) -> str:
-    """Of the places in a dictionary, as stored."""
-    return "<u2" if words <= 1 << 16 else "<u4"
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+    whole = ZstdDecompressor().decompress(data)
+    n = int.from_bytes(whole[:4], "little")
+    return np.cumsum(unplaned(whole[4 : 4 * n + 4]).astype(np.int64)), unplaned(whole[4 * n + 4 : 8 * n + 4]).astype(np.int64), whole[8 * n + 4 :]
 
 
 def cut(docs: DataFrame, pattern: str, chunks: int) -> DataFrame:
     """block, role, ix, data, _row of docs (_row, _text): the chunks of each block's dictionary (role 0, chunk ix) and its texts
-    (role 1; data are the places of their words in all chunks in a row)."""
+    (role 1; data are the numbers of their words in the dictionary, in which frequent words come early)."""
     schema = T.StructType().add("block", "long").add("role", "integer").add("ix", "integer").add("data", "binary").add("_row", docs.schema["_row"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,11 +210,11 @@ def cut(docs: DataFrame, pattern: str, chunks: int) -> DataFrame:
             order = np.argsort(chunk, kind="stable")
             ends = np.searchsorted(chunk[order], np.arange(chunks + 1))
             ix = [i for i in range(chunks) if ends[i] < ends[i + 1]]
-            data = [packed([words[k] for k in order[ends[i] : ends[i + 1]].tolist()]) for i in ix]
+            sizes = np.fromiter(map(len, words), np.int64, len(words))
+            own = [order[ends[i] : ends[i + 1]] for i in ix]
+            data = [packed(at, sizes[at], b"".join([words[k] for k in at.tolist()])) for at in own]
             yield made(0, ix, data, pa.nulls(len(ix), rows[0].type))
-            place = np.empty(len(words), place_type(len(words)))
-            place[order] = np.arange(len(words))
-            data = [ZstdCompressor(1).compress(place[x].tobytes()) for x in block.texts]
+            data = [ZstdCompressor(3).compress(planes(x)) for x in block.texts]
             yield made(1, [0] * len(data), data, pa.concat_arrays(rows))
 
         for batch in sliced(batches, "_text"):
@@ -239,9 +242,9 @@ def encoded_chunks(words: DataFrame, path: str) -> DataFrame:
         for batch in sliced(batches, "data"):
             given = []
             for ix, data in zip(batch.column("ix").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                sizes, whole = unpacked(data)
+                at, sizes, whole = unpacked(data)
                 ends = np.cumsum(sizes).tolist()
-                given.append((ix, [whole[a:b] for a, b in zip([0, *ends], ends)]))
+                given.append((ix, [whole[a:b] for a, b in zip([0, *ends], ends)], at))
             start, out = 0, []
             while start < len(given):
                 # As many chunks as have so many new words; those of another chunk's number have other words.
@@ -254,7 +257,9 @@ def encoded_chunks(words: DataFrame, path: str) -> DataFrame:
                     new.update(w for w in given[stop][1] if w not in known)
                     stop += 1
                 known |= vocab.encode_words(new)
-                out += [packed([known[w] for w in chunk]) for _, chunk in given[start:stop]]
+                for _, chunk, at in given[start:stop]:
+                    ids = [known[w] for w in chunk]
+                    out.append(packed(at, np.fromiter(map(len, ids), np.int64, len(ids)) // 4, planes(np.frombuffer(b"".join(ids), "<u4"))))
                 start = stop
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("ix"), pa.array(out, pa.binary())], names=schema.names)
 
@@ -289,10 +294,8 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text")
                     entries.append(unpacked(data))
                     continue
                 if table is None:
-                    sizes = np.concatenate([n for n, _ in entries] or [np.empty(0, np.int64)]) // 4
-                    table = (np.frombuffer(b"".join(ids for _, ids in entries), "<u4"), np.cumsum(sizes) - sizes, sizes, place_type(len(sizes)))
-                    entries = []
-                out.append(with_ids(ZstdDecompressor().decompress(data), *table))
+                    table, entries = dictionary(entries), []
+                out.append(with_ids(unplaned(ZstdDecompressor().decompress(data)), *table))
             rows = batch.column("_row").filter(pa.array(roles == 1))
             yield pa.RecordBatch.from_arrays([rows, pa.array(out, pa.binary()), pa.array([len(x) // 4 for x in out], pa.int64())], names=schema.names)
 
@@ -302,11 +305,19 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text")
     return done.select(*[F.col("_row").getField(c).alias(c) for c in rest], "ids", "n_tokens")
 
 
-def with_ids(places: bytes, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, kind: str) -> bytes:
-    """The ids of the words at the places, which stand in `ids` from their start on."""
-    all_, out = np.frombuffer(places, kind), []
-    for i in range(0, len(all_), CHUNK):
-        at = all_[i : i + CHUNK]
+def dictionary(chunks: list[tuple[np.ndarray, np.ndarray, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, starts, sizes: the ids of all words in a row, and where those of each word are."""
+    at, sizes = (np.concatenate([c[k] for c in chunks] or [np.empty(0, np.int64)]) for k in (0, 1))
+    ids = np.concatenate([unplaned(c[2]) for c in chunks] or [np.empty(0, "<u4")])
+    by_word = np.argsort(at)
+    return ids, (np.cumsum(sizes) - sizes)[by_word], sizes[by_word]
+
+
+def with_ids(places: np.ndarray, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> bytes:
+    """The ids of the words of the given numbers."""
+    out = []
+    for i in range(0, len(places), CHUNK):
+        at = places[i : i + CHUNK]
         n = sizes[at]
         out.append(ids[np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes())
     return b"".join(out)
