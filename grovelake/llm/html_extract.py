@@ -331,8 +331,9 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", sh
     # A phrase that articles have in common recurs on a large host as well, but on others as often; a site's template does not.
     of_hosts = counts.join(many.select("hash").distinct(), "hash", "left_semi").join(total, "host")
     of_hosts = of_hosts.withColumn("rare", F.when((F.col("n") >= 3) & (F.col("n") >= F.col("pages") * share), 0).otherwise(F.col("n")))
-    told = of_hosts.join(of_hosts.groupBy("hash").agg(F.sum("rare").alias("anywhere")), "hash").crossJoin(total.agg(F.sum("pages").alias("all_pages")))
-    own = (F.col("rare") == 0) | (F.col("rare") * (F.col("all_pages") - F.col("pages")) >= LIFT * F.col("pages") * (F.col("anywhere") - F.col("rare")))
+    told = of_hosts.join(of_hosts.groupBy("hash").agg(F.sum("rare").alias("anywhere")), "hash")
+    everywhere = F.lit(total.agg(F.sum("pages")).first()[0] or 0)
+    own = (F.col("rare") == 0) | (F.col("rare") * (everywhere - F.col("pages")) >= LIFT * F.col("pages") * (F.col("anywhere") - F.col("rare")))
     hashes = many.join(told.where(own).select("host", "hash"), ["host", "hash"]).groupBy("host").agg(F.collect_list("hash").alias("hashes"))
     # What recurs doesn't vary; where a page has several of a slot, none of them is its main element.
     varying = F.when((F.col("n") < min(3, least_pages)) & F.col("alone"), F.col("plain")).otherwise(0)
