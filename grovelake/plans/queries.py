@@ -223,7 +223,7 @@ def name_search(spark, sf):
     entries = fx.directory_leaves(spark, sf)
     roots, nodes = trees.directories(entries, entries.select("list"), 16)
     names = entries.select(F.explode(F.array("name", F.concat("name", F.lit("~")))).alias("name"))
-    wanted = trees.cut_lineage(roots).select("object_id").limit(1).crossJoin(names).withColumn("list", F.lit(""))
+    wanted = names.select("name", F.lit("").alias("list"), F.lit(roots.first().object_id).alias("object_id"))
     return search.find_entries(trees.cut_lineage(nodes), wanted).select("name", "kind", "size", "target_id")
 
 

@@ -109,3 +109,7 @@ class Folder:
 
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), False)
+
+    def delete_all(self) -> None:
+        """The folder with all that is in it."""
+        self._fs.delete(self._path(""), True)

@@ -2,33 +2,92 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chunks, merge, reconcile, sync, trees, walk
+from ..operators import caches, chunks, merge, reconcile, sync, trees, walk
 from . import file_store
+from .hadoop_fs import Folder, uri
 from .repository import PathError, Repository
 from .sync_state import StateFile, SyncState
 
 
-
 def scanned(repo: Repository, directory: str) -> DataFrame:
     """path, kind, size, executable, target_id below a directory, the directory itself left out."""
     return trees.cut_lineage(walk.scan(repo.structures(), repo.spark.createDataFrame([(directory,)], "object_id string")).where("path <> ''"))
 
 
-def file_contents(repo: Repository, ids: DataFrame) -> DataFrame:
-    """target_id, content of files (target_id), each once."""
-    wanted = ids.select(F.col("target_id").alias("list"), F.col("target_id").alias("object_id")).where("list is not null").distinct()
-    parts = walk.list_file(repo.structures(), wanted).join(repo.objects().select(F.col("object_id").alias("target_id"), "bytes"), "target_id")
+def _whole(wanted: DataFrame, parts: DataFrame) -> DataFrame:
+    """target_id, content of wanted (list) from the bytes of their parts (list, at, bytes)."""
     data = parts.groupBy("list").agg(F.array_sort(F.collect_list(F.struct("at", "bytes"))).alias("p"))
     whole = data.select(F.col("list").alias("target_id"), F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["bytes"])).alias("content"))
     return whole.unionByName(wanted.join(data, "list", "left_anti").select(F.col("list").alias("target_id"), F.lit(b"").alias("content")))
 
 
+def _wanted(ids: DataFrame) -> DataFrame:
+    return ids.select(F.col("target_id").alias("list"), F.col("target_id").alias("object_id")).where("list is not null").distinct()
+
+
+def file_contents(repo: Repository, ids: DataFrame) -> DataFrame:
+    """target_id, content of files (target_id), each once."""
+    wanted = _wanted(ids)
+    parts = walk.list_file(repo.structures(), wanted).join(repo.objects().select(F.col("object_id").alias("target_id"), "bytes"), "target_id")
+    return _whole(wanted, parts)
+
+
+class Stage:
+    """Chunks of a download, fetched before anything in the store changes; what was fetched before an interruption is kept."""
+
+    def __init__(self, spark: SparkSession, place: str):
+        self.spark, self.files = spark, Folder(spark, place)
+
+    def chunks(self) -> DataFrame:
+        """chunk_id, bytes."""
+        schema = "chunk_id string, bytes binary"
+        if not self.files.exists("chunks"):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.files.uri}/chunks")
+
+    def fetch(self, repo: Repository, parts: DataFrame, ids: DataFrame) -> None:
+        """Stage the chunks of files (target_id) that aren't yet; parts: list, size, target_id of their chunks."""
+        rows = parts.select(F.col("list").alias("file_id"), "size", F.col("target_id").alias("chunk_id"))
+        missing = reconcile.chunks_to_stage(ids, rows, self.chunks().select("chunk_id"))
+        data = missing.join(repo.objects().select(F.col("object_id").alias("chunk_id"), "bytes"), "chunk_id").select("chunk_id", "bytes")
+        data.write.mode("append").parquet(f"{self.files.uri}/chunks")
+
+    def contents(self, repo: Repository, parts: DataFrame, ids: DataFrame) -> DataFrame:
+        """target_id, content of files: from the stage, or from the repository where a chunk isn't there."""
+        read = reconcile.read_staged(parts.withColumnRenamed("target_id", "chunk_id"), self.chunks().dropDuplicates(["chunk_id"]), repo.objects())
+        return _whole(_wanted(ids), read.select("list", "at", "bytes"))
+
+    def clear(self) -> None:
+        self.files.delete_all()
+
+
+class FingerprintCache:
+    """store, path, fingerprint, object_id, at: files as they were last read or written, in a folder of versions."""
+
+    SCHEMA = "store string, path string, fingerprint string, object_id string, at string"
+
+    def __init__(self, spark: SparkSession, place: str):
+        self.spark, self.files = spark, Folder(spark, place)
+
+    def table(self) -> DataFrame:
+        now = self.files.read("current")
+        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.files.uri}/{now}") if now else self.spark.createDataFrame([], self.SCHEMA)
+
+    def upsert(self, rows: DataFrame) -> None:
+        """Put rows (store, path, fingerprint, object_id) over the table; the new version is complete before it is the current one."""
+        new = f"version-{uuid.uuid4().hex}"
+        now = rows.withColumn("at", F.lit(datetime.now(timezone.utc).isoformat()))
+        caches.upsert(self.table(), now, ["store", "path"], "at").write.parquet(f"{self.files.uri}/{new}")
+        self.files.replace("current", new)
+
+
 def store_files(repo: Repository, files: DataFrame) -> DataFrame:
     """path, size, target_id of files (path, content), their chunks and objects written."""
     cut = trees.cut_lineage(chunks.chunk_contents(files, "content", ["path"]))
@@ -38,12 +97,21 @@ def store_files(repo: Repository, files: DataFrame) -> DataFrame:
     return trees.cut_lineage(ids.select("path", "size", F.col("object_id").alias("target_id")))
 
 
-def upload(repo: Repository, folder: str) -> str:
-    """Store the files below a folder; the id of its directory."""
+def upload(repo: Repository, folder: str, cache: FingerprintCache | None = None) -> str:
+    """Store the files below a folder; the id of its directory. Files whose fingerprints the cache knows aren't read."""
     entries = trees.cut_lineage(file_store.entries(repo.spark, folder))
     files = entries.where("kind = 'File'")
-    ids = store_files(repo, file_store.contents(repo.spark, folder, files))
-    placed = files.select("path", "executable").join(ids, "path").select("path", "size", "executable", "target_id")
+    known = None
+    if cache:
+        named = files.select(F.lit(uri(folder)).alias("store"), "path", "fingerprint", "size", "executable")
+        # Chunks are written before the objects that name them, so a file's object stands for all of it.
+        known = trees.cut_lineage(caches.uploads(named, cache.table(), repo.objects().select("object_id")))
+    todo = files if known is None else known.where("object_id is null")
+    ids = store_files(repo, file_store.contents(repo.spark, folder, todo))
+    placed = todo.select("path", "executable").join(ids, "path").select("path", "size", "executable", "target_id")
+    if known is not None:
+        cache.upsert(known.where("object_id is null").join(ids, "path").select("store", "path", "fingerprint", F.col("target_id").alias("object_id")))
+        placed = placed.unionByName(known.where("object_id is not null").select("path", "size", "executable", F.col("object_id").alias("target_id")))
     dirs, nodes = trees.tree(placed, entries.where("kind = 'Directory'").select("path"))
     repo.write_structures(nodes)
     return dirs.where("path = ''").first().object_id
@@ -142,13 +210,32 @@ def merge_commits(repo: Repository, base: str, one: str, two: str, limit: int =
     return repo.next_commit(one, merged, (two,), **metadata), conflicts
 
 
-def download(repo: Repository, directory: str, folder: str, dry: bool = False) -> list[str]:
-    """Bring a folder to the state of a directory; the lines of the plan, which is all that is made of it if dry."""
-    store = file_store.entries(repo.spark, folder).select("path", "kind", "executable", "fingerprint", F.lit(None).cast("string").alias("cached_fingerprint"), F.lit(None).cast("string").alias("cached_id"))
+def download(repo: Repository, directory: str, folder: str, dry: bool = False, cache: FingerprintCache | None = None, stage: Stage | None = None) -> list[str]:
+    """Bring a folder to the state of a directory; the lines of the plan, which is all that is made of it if dry.
+
+    Files whose fingerprints the cache knows to be the ones wanted stay. With a stage, all chunks are fetched first and the folder
+    is changed afterwards; the stage is cleared when all is done.
+    """
+    here = uri(folder)
+    store = file_store.entries(repo.spark, folder).select("path", "kind", "executable", "fingerprint")
+    known = cache.table().where(F.col("store") == here) if cache else repo.spark.createDataFrame([], FingerprintCache.SCHEMA)
+    store = store.join(known.select("path", F.col("fingerprint").alias("cached_fingerprint"), F.col("object_id").alias("cached_id")), "path", "left")
     steps = trees.cut_lineage(reconcile.plan(scanned(repo, directory).select("path", "kind", "target_id", "executable"), store))
     lines = [r.line for r in reconcile.rendered(reconcile.in_order(steps)).collect()]
-    if not dry:
-        file_store.apply(steps, folder, file_contents(repo, steps.where("action = 'download'")))
+    if dry:
+        return lines
+    ids = steps.where("action = 'download'").select("target_id")
+    if stage:
+        parts = trees.cut_lineage(walk.list_file(repo.structures(), _wanted(ids)))
+        stage.fetch(repo, parts, ids)
+        file_store.apply(steps, folder, stage.contents(repo, parts, ids))
+        stage.clear()
+    else:
+        file_store.apply(steps, folder, file_contents(repo, ids))
+    if cache:
+        done = steps.where("action = 'download'").select("path", "target_id")
+        now = file_store.entries(repo.spark, folder).where("kind = 'File'").join(done, "path")
+        cache.upsert(trees.cut_lineage(now.select(F.lit(here).alias("store"), "path", "fingerprint", F.col("target_id").alias("object_id"))))
     return lines
 
 

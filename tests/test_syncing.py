@@ -65,3 +65,30 @@ def test_specs_and_limits():
         specs.parse("http://x", store=True)
     assert specs.limit(config, "read_bytes", "s3", "network") == 100 << 20 and specs.limit(config, "read_bytes", "repository.mine", "network") is None
     assert specs.limit(config, "requests", "s3") == 7 and specs.byte_count("3 kb") == 3072 and specs.byte_count("7b") == 7
+
+
+def test_cached_and_staged(spark, tmp_path):
+    a, b = tmp_path / "a", tmp_path / "b"
+    (a / "d").mkdir(parents=True)
+    b.mkdir()
+    (a / "d/__init__.py").write_text("x = 1\n")
+    (a / "big").write_bytes(bytes(range(256)) * 400)
+    (a / "zero").write_bytes(b"")
+    repo = Repository(spark, str(tmp_path / "repo"))
+    repo.initialize()
+    cache, stage = syncing.FingerprintCache(spark, str(tmp_path / "cache")), syncing.Stage(spark, str(tmp_path / "stage"))
+    first = syncing.upload(repo, str(a), cache)
+    assert first == syncing.upload(repo, str(a)) and cache.table().count() == 3
+
+    # A file whose fingerprint is known isn't read: its id comes from the cache.
+    other = cache.table().where("path = 'zero'").first().object_id
+    cache.upsert(cache.table().where("path = 'big'").drop("at", "object_id").selectExpr("*", f"'{other}' AS object_id"))
+    assert syncing.upload(repo, str(a), cache) != first
+
+    lines = syncing.download(repo, first, str(b), cache=cache, stage=stage)
+    assert len(lines) == 4 and (b / "big").read_bytes() == (a / "big").read_bytes() and (b / "d/__init__.py").read_text() == "x = 1\n"
+    assert not (tmp_path / "stage").exists()
+    assert syncing.download(repo, first, str(b), cache=cache) == []
+    (b / "big").write_bytes(b"changed")
+    assert [x.split()[0] for x in syncing.download(repo, first, str(b), cache=cache, stage=stage)] == ["rm", "download"]
+    assert (b / "big").read_bytes() == (a / "big").read_bytes()
