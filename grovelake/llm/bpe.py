@@ -32,10 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from zstandard import ZstdCompressor, ZstdDecompressor
 
-from .common import sliced, stored
+from .common import SLICE_BYTES, sliced, stored
 
 #: Characters of text in a block (a longer text is a block), and words or ids handled at a time in a text.
-BLOCK_CHARS, CHUNK = 1 << 24, 1 << 18
+BLOCK_CHARS, CHUNK = 1 << 25, 1 << 18
+#: Uses in a block from which on a word is numbered by frequency.
+FREQUENT = 8
 #: New words replayed together, encoded words and merged pairs that a task remembers, and the least number of chunks of a dictionary.
 REPLAYED, KEPT_WORDS, KEPT_PAIRS, LEAST_CHUNKS = 1 << 16, 1 << 18, 1 << 17, 64
 
@@ -179,20 +181,29 @@ def unplaned(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
-def packed(ix: np.ndarray, sizes: np.ndarray, rest: bytes) -> bytes:
-    """Some words of a dictionary, compressed: their ascending numbers in it, the length of what stands for each, and that in a row."""
-    return ZstdCompressor(3).compress(len(ix).to_bytes(4, "little") + planes(np.diff(ix, prepend=0)) + planes(sizes) + rest)
+def packed(sizes: np.ndarray, rest: bytes) -> bytes:
+    """Numbers and what follows them, compressed: of words, their lengths and the words in a row."""
+    return ZstdCompressor(3).compress(len(sizes).to_bytes(4, "little") + planes(sizes) + rest)
 
 
-def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+def unpacked(data: bytes) -> tuple[np.ndarray, bytes]:
     whole = ZstdDecompressor().decompress(data)
     n = int.from_bytes(whole[:4], "little")
-    return np.cumsum(unplaned(whole[4 : 4 * n + 4]).astype(np.int64)), unplaned(whole[4 * n + 4 : 8 * n + 4]).astype(np.int64), whole[8 * n + 4 :]
+    return unplaned(whole[4 : 4 * n + 4]).astype(np.int64), whole[4 * n + 4 :]
+
+
+def numbered(first: np.ndarray, n: int) -> np.ndarray:
+    """The places 0 to n - 1 in the order of their numbers: those of `first`, then the others as they come."""
+    rest = np.ones(n, bool)
+    rest[first] = False
+    return np.concatenate([first, np.flatnonzero(rest)])
 
 
 def cut(docs: DataFrame, pattern: str, chunks: int) -> DataFrame:
-    """block, role, ix, data, _row of docs (_row, _text): the chunks of each block's dictionary (role 0, chunk ix) and its texts
-    (role 1; data are the numbers of their words in the dictionary, in which frequent words come early)."""
+    """block, role, ix, data, _row of docs (_row, _text): the chunks of each block's dictionary, words in order (role 0, chunk ix),
+    the places of those that are numbered first (role 1, ix 0), the numbers of all words of its texts in a row (role 1, ix 1), and its
+    texts' rows (role 2).
+    """
     schema = T.StructType().add("block", "long").add("role", "integer").add("ix", "integer").add("data", "binary").add("_row", docs.schema["_row"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,22 +211,29 @@ def cut(docs: DataFrame, pattern: str, chunks: int) -> DataFrame:
         number = TaskContext.get().partitionId() << 32
         block, rows = Block(find), []
 
-        def made(role: int, ix: list[int], data: list[bytes], row: pa.Array) -> pa.RecordBatch:
+        def made(role: int, ix: list[int], data: list[bytes | None], row: pa.Array) -> pa.RecordBatch:
             k = len(data)
             return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(number, pa.int64()), k), pa.repeat(pa.scalar(role, pa.int32()), k), pa.array(ix, pa.int32()), pa.array(data, pa.binary()), row], names=schema.names)
 
         def ended() -> Iterator[pa.RecordBatch]:
+            lengths = np.fromiter(map(len, block.texts), np.int64, len(block.texts))
+            numbers = np.concatenate(block.texts)
+            counts = np.bincount(numbers, minlength=len(block.words))
             words = [w.encode() for w in block.words]
-            chunk = np.fromiter((crc32(w) % chunks for w in words), np.int64, len(words))
-            order = np.argsort(chunk, kind="stable")
-            ends = np.searchsorted(chunk[order], np.arange(chunks + 1))
-            ix = [i for i in range(chunks) if ends[i] < ends[i + 1]]
-            sizes = np.fromiter(map(len, words), np.int64, len(words))
-            own = [order[ends[i] : ends[i + 1]] for i in ix]
-            data = [packed(at, sizes[at], b"".join([words[k] for k in at.tolist()])) for at in own]
-            yield made(0, ix, data, pa.nulls(len(ix), rows[0].type))
-            data = [ZstdCompressor(3).compress(planes(x)) for x in block.texts]
-            yield made(1, [0] * len(data), data, pa.concat_arrays(rows))
+            chunk = [crc32(w) % chunks for w in words]
+            order = np.array(sorted(range(len(words)), key=lambda k: (chunk[k], words[k])), np.int64)
+            data: dict[int, list[bytes]] = {}
+            for k in order.tolist():
+                data.setdefault(chunk[k], []).append(words[k])
+            ix = [*data]
+            data = [packed(np.fromiter(map(len, part), np.int64, len(part)), b"".join(part)) for part in data.values()]
+            frequent = np.argsort(-counts[order], kind="stable")[: int((counts >= FREQUENT).sum())]
+            place = np.empty(len(words), np.uint32)
+            place[order[numbered(frequent, len(words))]] = np.arange(len(words))
+            missing = lambda k: pa.nulls(k, rows[0].type)
+            yield made(0, ix, data, missing(len(ix)))
+            yield made(1, [0, 1], [packed(frequent, b""), packed(lengths, planes(place[numbers]))], missing(2))
+            yield made(2, [*range(len(lengths))], [None] * len(lengths), pa.concat_arrays(rows))
 
         for batch in sliced(batches, "_text"):
             start = 0
@@ -242,9 +260,9 @@ def encoded_chunks(words: DataFrame, path: str) -> DataFrame:
         for batch in sliced(batches, "data"):
             given = []
             for ix, data in zip(batch.column("ix").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                at, sizes, whole = unpacked(data)
+                sizes, whole = unpacked(data)
                 ends = np.cumsum(sizes).tolist()
-                given.append((ix, [whole[a:b] for a, b in zip([0, *ends], ends)], at))
+                given.append((ix, [whole[a:b] for a, b in zip([0, *ends], ends)]))
             start, out = 0, []
             while start < len(given):
                 # As many chunks as have so many new words; those of another chunk's number have other words.
@@ -257,9 +275,9 @@ def encoded_chunks(words: DataFrame, path: str) -> DataFrame:
                     new.update(w for w in given[stop][1] if w not in known)
                     stop += 1
                 known |= vocab.encode_words(new)
-                for _, chunk, at in given[start:stop]:
+                for _, chunk in given[start:stop]:
                     ids = [known[w] for w in chunk]
-                    out.append(packed(at, np.fromiter(map(len, ids), np.int64, len(ids)) // 4, planes(np.frombuffer(b"".join(ids), "<u4"))))
+                    out.append(packed(np.fromiter(map(len, ids), np.int64, len(ids)) // 4, planes(np.frombuffer(b"".join(ids), "<u4"))))
                 start = stop
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("ix"), pa.array(out, pa.binary())], names=schema.names)
 
@@ -278,26 +296,36 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text")
     chunks = max(LEAST_CHUNKS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     blocks = stored(cut(given, pattern, chunks), "blocks")
     words = encoded_chunks(blocks.where("role = 0").select("block", "ix", "data"), path)
-    texts = blocks.where("role = 1").select("block", "role", "ix", "data", "_row")
+    texts = blocks.where("role > 0").select("block", "role", "ix", "data", "_row")
     row_type = given.schema["_row"].dataType
     schema = T.StructType().add("_row", row_type).add("ids", "binary").add("n_tokens", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, entries, table = None, [], None
+        block = entries = table = numbers = None
         for batch in sliced(batches, "data"):
-            numbers, roles = (batch.column(k).to_numpy() for k in ("block", "role"))
-            out: list[bytes] = []
-            for number, role, data in zip(numbers.tolist(), roles.tolist(), batch.column("data").to_pylist(), strict=True):
-                if number != block:
-                    block, entries, table = number, [], None
+            rows, at, out, size = batch.column("_row"), [], [], 0
+
+            def done() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([rows.take(pa.array(at, pa.int64())), pa.array(out, pa.binary()), pa.array([len(x) // 4 for x in out], pa.int64())], names=schema.names)
+
+            for i, (now, role, ix, data) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("block", "role", "ix", "data")), strict=True)):
+                if now != block:
+                    block, entries, table = now, [], None
                 if role == 0:
                     entries.append(unpacked(data))
-                    continue
-                if table is None:
-                    table, entries = dictionary(entries), []
-                out.append(with_ids(unplaned(ZstdDecompressor().decompress(data)), *table))
-            rows = batch.column("_row").filter(pa.array(roles == 1))
-            yield pa.RecordBatch.from_arrays([rows, pa.array(out, pa.binary()), pa.array([len(x) // 4 for x in out], pa.int64())], names=schema.names)
+                elif role == 1 and ix == 0:
+                    table, entries = dictionary(entries, unpacked(data)[0]), None
+                elif role == 1:
+                    lengths, rest = unpacked(data)
+                    numbers, starts = unplaned(rest), np.concatenate([[0], np.cumsum(lengths)])
+                else:
+                    out.append(with_ids(numbers[starts[ix] : starts[ix + 1]], *table))
+                    at.append(i)
+                    size += len(out[-1])
+                    if size > SLICE_BYTES:
+                        yield done()
+                        at, out, size = [], [], 0
+            yield done()
 
     missing = F.lit(None).cast(row_type).alias("_row")
     both = texts.unionByName(words.select("block", F.lit(0).alias("role"), "ix", "data", missing))
@@ -305,12 +333,12 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text")
     return done.select(*[F.col("_row").getField(c).alias(c) for c in rest], "ids", "n_tokens")
 
 
-def dictionary(chunks: list[tuple[np.ndarray, np.ndarray, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids, starts, sizes: the ids of all words in a row, and where those of each word are."""
-    at, sizes = (np.concatenate([c[k] for c in chunks] or [np.empty(0, np.int64)]) for k in (0, 1))
-    ids = np.concatenate([unplaned(c[2]) for c in chunks] or [np.empty(0, "<u4")])
-    by_word = np.argsort(at)
-    return ids, (np.cumsum(sizes) - sizes)[by_word], sizes[by_word]
+def dictionary(chunks: list[tuple[np.ndarray, bytes]], frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, starts, sizes: the ids of all words in a row, and where those of the word of each number are."""
+    sizes = np.concatenate([c[0] for c in chunks] or [np.empty(0, np.int64)])
+    ids = np.concatenate([unplaned(c[1]) for c in chunks] or [np.empty(0, "<u4")])
+    by_number = numbered(frequent, len(sizes))
+    return ids, (np.cumsum(sizes) - sizes)[by_number], sizes[by_number]
 
 
 def with_ids(places: np.ndarray, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> bytes:

@@ -71,3 +71,19 @@ def test_stages(spark, sf_dir):
 
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 100
+
+
+def test_stages_take_odd_rows(spark, sf_dir):
+    good = "Plain words of a sound document stand here in order and end well. " * 3
+    rows = [(1, good, "en", "a", 1, 0.5, "k"), (1, good, "en", "a", 1, 0.5, "k"), (None, good + "Other.", None, None, None, None, None), (3, None, "en", "a", 0, 0.1, "z"), (4, "", "de", "b", 0, None, "z"), (5, good * 400, "en", "b", 9, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, kept string")
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        seen[name] = out.collect()
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+        assert name == "bpe" or out.columns == docs.columns
+    assert {r.doc_id for r in seen["quality"]} >= {1, None, 5} and sum(r.doc_id == 1 for r in seen["quality"]) == 2
+    assert sorted((r.doc_id or 0, r.text) for r in seen["exact_dedup"]) == sorted([(1, good), (0, good + "Other."), (3, None), (5, good * 400)], key=lambda x: x[0])
+    assert sum(r.doc_id == 1 for r in seen["near_dedup"]) == 1 and {3, 4} <= {r.doc_id for r in seen["near_dedup"]}
+    assert len(seen["bpe"]) == len(rows) and [r.n_tokens for r in seen["bpe"] if r.doc_id in (3, 4)] == [0, 0]
