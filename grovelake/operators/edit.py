@@ -55,6 +55,26 @@ def file_modify(objects: DataFrame, roots: DataFrame, modifications: DataFrame,
     return ids.withColumnRenamed("_list", "list"), nodes
 
 
+def file_modify_within(files: DataFrame, most: int, max_items: int = canon.MAX_FILE) -> DataFrame:
+    """(list, size, object_id) of files after modifications, as by file_modify, each made within its row: nothing is shuffled or stored.
+
+    files: list, object_id, objects (array of object_id, json; those of the file), modifications (array of offset, op, size,
+    chunk_id). `most` bounds the parts of a file before and after; more are an error, as is a chunk that is modified twice.
+    """
+    mods = F.col("modifications")
+
+    def placed(parts: Column) -> Column:
+        before = lambda i: F.aggregate(F.slice(parts, 1, i), F.lit(0).cast("long"), lambda s, x: s + x["size"])
+        return F.transform(parts, lambda p, i: F.struct(before(i).alias("offset"), p["size"].alias("size"), p["chunk_id"].alias("chunk_id")))
+
+    old = canon.let(walk.parts_within(F.col("object_id"), F.col("objects"), most, max_items), placed)
+    kept = F.filter(old, lambda p: ~F.exists(mods, lambda m: m["offset"] == p["offset"]))
+    new = F.transform(F.filter(mods, lambda m: m["op"] == "Set"), lambda m: F.struct(m["offset"].alias("offset"), m["size"].alias("size"), m["chunk_id"].alias("chunk_id")))
+    twice = F.size(F.array_distinct(F.transform(mods, lambda m: m["offset"]))) < F.size(mods)
+    changed = F.when(twice, F.raise_error(F.lit("a chunk is modified more than once"))).otherwise(F.array_sort(F.concat(kept, new)))
+    return files.select("list", chunks.file_within(changed, most, max_items).alias("_file")).select("list", "_file.size", "_file.object_id")
+
+
 def branches_modify(objects: DataFrame, roots: DataFrame, modifications: DataFrame, max_items: int = canon.MAX_BRANCHES) -> tuple[DataFrame, DataFrame]:
     """(list, object_id) of lists of branches after modifications (list, name, op, commit_id), and their Branches objects.
 

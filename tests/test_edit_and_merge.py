@@ -1,7 +1,11 @@
+import hashlib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from grovelake.operators import edit, merge
+from grovelake.operators import edit, merge, trees, walk
+from grovelake.plans import queries
 
 FILES = "path string, target_id string"
 
@@ -98,3 +102,69 @@ def test_text_merge(spark, base, one, two, outcome, content):
 
 def test_lines():
     assert [merge.lines_of(x) for x in (b"", b"a\nb\n", b"a\nb", b"single", b"\n", b"a\r\n\x0cb")] == [[], [b"a\n", b"b\n"], [b"a\n", b"b"], [b"single"], [b"\n"], [b"a\r\n", b"\x0cb"]]
+
+
+def plain_file(parts, most):
+    """size, id of the file of parts (size, chunk), and its objects."""
+    level, objects = [(s, f'{{"content":"{c}","size":{s},"type":"Chunk"}}') for s, c in parts], {}
+    while True:
+        made = []
+        for i in range(0, max(len(level), 1), most):
+            json = '{"parts":[' + ",".join(x for _, x in level[i : i + most]) + '],"type":"File"}'
+            made.append((sum(s for s, _ in level[i : i + most]), hashlib.sha256(json.encode()).hexdigest()))
+            objects[made[-1][1]] = json
+        if len(made) == 1:
+            return *made[0], objects
+        level = [(s, f'{{"file":"{i}","size":{s},"type":"File"}}') for s, i in made]
+
+
+def test_file_modify_within_rows_equals_that_of_tables(spark):
+    rng = random.Random(3)
+    rows, want = [], {}
+    for n in [0, 1, 2, 3, 4, 9, 10, 26, 27, 28, 40]:
+        parts = [(rng.randint(1, 50), f"c{rng.randint(0, 9)}") for _ in range(n)]
+        places = [sum(s for s, _ in parts[:i]) for i in range(n + 1)]
+        now = {at: p for at, p in zip(places, parts)}
+        mods = [(at, *rng.choice([("Set", 5, "new"), ("Remove", None, None)])) for at in rng.sample(places, rng.randint(0, n + 1))]
+        for at, op, size, chunk in mods:
+            now.pop(at, None)
+            now |= {at: (size, chunk)} if op == "Set" else {}
+        _, top, objects = plain_file(parts, 3)
+        want[n] = plain_file([now[at] for at in sorted(now)], 3)[:2]
+        rows.append((n, top, [*objects.items()], mods))
+    files = spark.createDataFrame(rows, "list long, object_id string, objects array<struct<object_id:string,json:string>>, modifications array<struct<offset:long,op:string,size:long,chunk_id:string>>")
+    got = {r.list: (r.size, r.object_id) for r in edit.file_modify_within(files, 41, 3).collect()}
+    tables = edit.file_modify(files.selectExpr("inline(objects)").distinct(), files.select("list", "object_id"), files.selectExpr("list", "inline(modifications)"), 3)[0]
+    assert got == want == {r.list: (r.size, r.object_id) for r in tables.collect()}
+    with pytest.raises(Exception, match="more than 27 parts"):
+        edit.file_modify_within(files, 20, 3).collect()
+    twice = spark.createDataFrame([(*rows[1][:3], [(0, "Remove", None, None)] * 2)], files.schema)
+    with pytest.raises(Exception, match="modified more than once"):
+        edit.file_modify_within(twice, 20, 3).collect()
+
+
+def test_orders_are_modified_without_storing_their_objects(spark, tmp_path, monkeypatch):
+    stored = []
+
+    def cut(df, done=trees.cut_lineage):
+        stored.append(done(df))
+        return stored[-1]
+
+    for module in (trees, walk):
+        monkeypatch.setattr(module, "cut_lineage", cut)
+    lines = {1: 1, 2: 2, 3: 17, 4: 64}
+    line = lambda o, n: [(o, i, o * 100 + i, i, 1.5, float(i % 50 + 1)) for i in range(n)]
+    schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double"
+
+    def want(o, n):
+        parts = [(i % 50 + 1, hashlib.sha256(f"{o * 100 + i}:{i}".encode()).hexdigest()) for i in range(n)]
+        new, end = (hashlib.sha256(x).hexdigest() for x in (b"new", b"end"))
+        return (o, *plain_file([(7, new), *parts[2:], (9, end)], 3)[:2])
+
+    for n in (None, 65):
+        lines |= {5: n} if n else {}
+        spark.createDataFrame([x for o, n in lines.items() for x in line(o, n)], schema).write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+        got = sorted(map(tuple, queries.file_modify(spark, str(tmp_path)).collect()))
+        assert got == [want(o, n) for o, n in lines.items()]
+        if not n:
+            assert sum(df.count() for df in stored) == 0
