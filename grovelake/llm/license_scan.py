@@ -89,8 +89,11 @@ def _words(segment: Column) -> Column:
 
 
 def _bigrams(words: Column) -> Column:
-    n = F.size(words) - 1
-    return F.when(n > 0, F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.lower(F.concat_ws(" ", a, b)))).otherwise(F.array().cast("array<string>"))
+    def pairs(w: Column) -> Column:
+        n = F.size(w) - 1
+        return F.when(n > 0, F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
+
+    return let(F.transform(words, F.lower), pairs)
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
@@ -128,9 +131,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = F.when(F.size(lines) > 1, F.array(text)).otherwise(F.array().cast("array<string>"))
     segments = F.transform(F.concat(lines, paragraphs, whole), lambda x: F.array_distinct(_bigrams(_words(x))))
 
-    def matches(own: Column) -> Column:
-        hits = F.array_intersect(own, anchors)
-
+    def matches(own: Column, hits: Column) -> Column:
         def some(near: Column) -> Column:
             whole_segments = F.filter(F.transform(F.filter(segments, lambda x: F.arrays_overlap(x, hits)), lambda x: best(x, near)), lambda m: m["d"] <= -threshold)
             parts = F.filter(F.transform(near, lambda t: windows(own, t)), lambda m: m["d"] <= -threshold)
@@ -138,7 +139,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return F.when(F.size(hits) > 0, let(F.filter(known, lambda t: F.arrays_overlap(t["anchors"], hits)), some)).otherwise(F.struct(none.alias("s"), none.alias("w")))
 
-    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).select("_id", let(_bigrams(_words(text)), matches).alias("m"))
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).select("_id", let(_bigrams(_words(text)), lambda own: let(F.array_intersect(own, anchors), lambda hits: matches(own, hits))).alias("m"))
     all_ = F.concat("m.s", "m.w")
     first = F.array_min(all_)
     return found.select(

@@ -73,3 +73,10 @@ def test_licences_inside_lines_comments_and_files(spark):
     got = {r.doc_id: r for r in license_scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     assert all("MIT" in got[i].licenses.split(",") for i in (1, 2, 3, 4, 6)) and got[5].licenses == ""
     assert got[2].best_dice == got[4].best_dice == 1.0
+
+
+def test_words_and_anchors_of_a_text_are_found_once(spark):
+    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    plan = license_scan(df)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("array_intersect(") == 3  # anchors of the text, a segment with a template, a window with a template
+    assert plan.count("[^A-Za-z0-9]+") == 2  # words of the text, of a segment
