@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovelake.llm.bpe import bpe_decode, bpe_encode
+from grovelake.llm.bpe import bpe_encode
 from grovelake.llm.common import stored, table
 from grovelake.llm.exact_dedup import without_copies
 from grovelake.llm.mixing import mixed
@@ -54,7 +54,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     One row for each row of docs, repeated ones too; a null or empty text has no ids. Other columns end here.
     """
-    coded = bpe_decode(bpe_encode(docs.select("doc_id", "lang", "source", "text"), *ranks()), ranks()[0])
+    coded = bpe_encode(docs.select("doc_id", "lang", "source", "text"), *ranks(), decoded="decoded")
     digests = F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     return coded.select("doc_id", "lang", "source", "n_tokens", "ids", *digests)
 

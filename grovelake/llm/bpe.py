@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from zstandard import ZstdCompressor, ZstdDecompressor
 
-from .common import SLICE_BYTES, sliced, stored
+from .common import SLICE_BYTES, sliced, stored, tidied
 
 #: Characters of text in a block (a longer text is a block), and words or ids handled at a time in a text.
 BLOCK_CHARS, CHUNK = 1 << 25, 1 << 18
@@ -248,7 +248,7 @@ def cut(docs: DataFrame, pattern: str, chunks: int) -> DataFrame:
         if block.texts:
             yield from ended()
 
-    return docs.select("_row", "_text").mapInArrow(run, schema)
+    return docs.select("_row", "_text").mapInArrow(tidied(run), schema)
 
 
 def encoded_chunks(words: DataFrame, path: str) -> DataFrame:
@@ -281,17 +281,18 @@ def encoded_chunks(words: DataFrame, path: str) -> DataFrame:
                 start = stop
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("ix"), pa.array(out, pa.binary())], names=schema.names)
 
-    return words.repartition("ix").sortWithinPartitions("ix").select("block", "ix", "data").mapInArrow(run, schema)
+    return words.repartition("ix").sortWithinPartitions("ix").select("block", "ix", "data").mapInArrow(tidied(run), schema)
 
 
-def bpe_encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+def bpe_encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", decoded: str | None = None) -> DataFrame:
     """docs without its text column, with ids binary (little-endian unsigned 32-bit) and n_tokens long.
 
-    Columns named ids or n_tokens are replaced. A null or empty text has no tokens. Each match of the pattern is
-    encoded by itself, without special tokens. Texts of any length are read whole; one longer than a block is a block by itself,
+    decoded names a column for the bytes that the ids stand for, as bpe_decode gives them: the worker that has the ids decodes
+    them, so that a task needs one worker and not two. Columns named ids or n_tokens, or like it, are replaced.
+    A null or empty text has no tokens. Each match of the pattern is encoded by itself, without special tokens. Texts of any length are read whole; one longer than a block is a block by itself,
     cut into words some at a time. Repeated rows stay; an empty table stays empty.
     """
-    rest = [c for c in docs.columns if c not in (text_col, "ids", "n_tokens")]
+    rest = [c for c in docs.columns if c not in (text_col, "ids", "n_tokens", decoded)]
     given = docs.select(F.struct(*rest, F.lit(0).alias("_")).alias("_row"), F.col(text_col).alias("_text"))
     chunks = max(LEAST_CHUNKS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     blocks = stored(cut(given, pattern, chunks), "blocks")
@@ -299,14 +300,20 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text")
     texts = blocks.where("role > 0").select("block", "role", "ix", "data", "_row")
     row_type = given.schema["_row"].dataType
     schema = T.StructType().add("_row", row_type).add("ids", "binary").add("n_tokens", "long")
+    if decoded is not None:
+        schema = schema.add("decoded", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = None if decoded is None else vocabulary(path)
         block = entries = table = numbers = None
         for batch in sliced(batches, "data"):
             rows, at, out, size = batch.column("_row"), [], [], 0
 
             def done() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([rows.take(pa.array(at, pa.int64())), pa.array(out, pa.binary()), pa.array([len(x) // 4 for x in out], pa.int64())], names=schema.names)
+                made = [rows.take(pa.array(at, pa.int64())), pa.array(out, pa.binary()), pa.array([len(x) // 4 for x in out], pa.int64())]
+                if vocab:
+                    made.append(pa.array(map(vocab.decode, out), pa.binary()))
+                return pa.RecordBatch.from_arrays(made, names=schema.names)
 
             for i, (now, role, ix, data) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("block", "role", "ix", "data")), strict=True)):
                 if now != block:
@@ -329,8 +336,9 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text")
 
     missing = F.lit(None).cast(row_type).alias("_row")
     both = texts.unionByName(words.select("block", F.lit(0).alias("role"), "ix", "data", missing))
-    done = both.repartition("block").sortWithinPartitions("block", "role", "ix").mapInArrow(run, schema)
-    return done.select(*[F.col("_row").getField(c).alias(c) for c in rest], "ids", "n_tokens")
+    done = both.repartition("block").sortWithinPartitions("block", "role", "ix").mapInArrow(tidied(run), schema)
+    also = [] if decoded is None else [F.col("decoded").alias(decoded)]
+    return done.select(*[F.col("_row").getField(c).alias(c) for c in rest], "ids", "n_tokens", *also)
 
 
 def dictionary(chunks: list[tuple[np.ndarray, bytes]], frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -364,4 +372,4 @@ def bpe_decode(encoded: DataFrame, path: str, ids_col: str = "ids", to: str = "d
             ids = batch.column(rest.index(ids_col)).to_pylist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([vocab.decode(x or b"") for x in ids], pa.binary())], names=[*rest, to])
 
-    return encoded.select(*rest).mapInArrow(run, encoded.select(*rest, F.lit(b"").alias(to)).schema)
+    return encoded.select(*rest).mapInArrow(tidied(run), encoded.select(*rest, F.lit(b"").alias(to)).schema)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_or_numbered, sliced, stored
+from .common import keyed_or_numbered, sliced, stored, tidied
 
 BANDS, ROWS, SKETCH_WORDS = 24, 4, 4
 #: Centres of a band in the star rounds after the first.
@@ -157,7 +157,7 @@ def signatures(rows: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), *arrays], names=["_rk", "_id", "n", "d1", "d2", "bands", "sketch", "whole"])
 
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.select("_rk", "_id", "_text").mapInArrow(run, f"_rk long, _id {kind}, n long, d1 long, d2 long, bands array<long>, sketch array<long>, whole array<long>")
+    return rows.select("_rk", "_id", "_text").mapInArrow(tidied(run), f"_rk long, _id {kind}, n long, d1 long, d2 long, bands array<long>, sketch array<long>, whole array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -186,7 +186,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                     found[1].append(rk)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["c", "v"])
 
-    return read.select("_rk", "c", "role", "_text").mapInArrow(check, "c long, v long")
+    return read.select("_rk", "c", "role", "_text").mapInArrow(tidied(check), "c long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:

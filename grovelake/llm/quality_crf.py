@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import sliced, tidied
 
 UPPER, LOWER, DIGIT = (bytes(range(ord(a), ord(b) + 1)) for a, b in ("AZ", "az", "09"))
 MARKS = b"*$%#&!|<>{}[]\\^~@_=+`"
@@ -212,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             data = [pa.array(x, pa.binary()) for x in data]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), *data], names=["_id", "_label", "x", "n"])
 
-    rows = given.withColumn("_label", F.col("_label").cast("int")).mapInArrow(run, given.select("_id", F.col("_label").cast("int"), F.lit(b"").alias("x"), F.lit(b"").alias("n")).schema).collect()
+    rows = given.withColumn("_label", F.col("_label").cast("int")).mapInArrow(tidied(run), given.select("_id", F.col("_label").cast("int"), F.lit(b"").alias("x"), F.lit(b"").alias("n")).schema).collect()
     rows.sort(key=lambda r: (str(r[0]), r[2]))
     return fit([(np.frombuffer(r.x, "<f4").reshape(-1, WIDTH).astype(float), np.frombuffer(r.n, "<f4").astype(float), r._label) for r in rows])
 
@@ -230,7 +230,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", to: str = "scor
             scores = [model.score(t or "") for t in batch.column(len(rest)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(scores, pa.float64())], names=[*rest, to])
 
-    return docs.select(*rest, text_col).mapInArrow(run, docs.select(*rest, F.lit(0.0).alias(to)).schema)
+    return docs.select(*rest, text_col).mapInArrow(tidied(run), docs.select(*rest, F.lit(0.0).alias(to)).schema)
 
 
 def good_documents(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -245,7 +245,7 @@ def good_documents(docs: DataFrame, model: Model, threshold: float = 0.3, text_c
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             yield batch.filter(pa.array([model.score(t or "") >= threshold for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def held_out(id_column) -> F.Column:

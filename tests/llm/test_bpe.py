@@ -79,3 +79,13 @@ def test_a_dictionary_of_more_words_than_two_bytes_count(spark, pair):
     text = " ".join(f"{i:05x}" for i in range(70_000))
     got = bpe_encode(spark.createDataFrame([(1, text), (2, "05 " + text[:9])], "doc_id long, text string").coalesce(1), PATH, P.PATTERN).collect()
     assert {r.doc_id: ids(r.ids) for r in got} == {1: pair[1].encode_ordinary(text), 2: pair[1].encode_ordinary("05 " + text[:9])}
+
+
+def test_ids_and_bytes_from_one_worker(spark, pair):
+    rows = [(1, "hello world", b"x"), (2, None, None), (3, "", b""), (None, "漢字 " * 300_000, None), (1, "hello world", b"x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, decoded binary")
+    got = bpe_encode(df, PATH, P.PATTERN, decoded="decoded")
+    assert sorted(got.columns) == ["decoded", "doc_id", "ids", "n_tokens"]
+    want = bpe_decode(bpe_encode(df, PATH, P.PATTERN), PATH)
+    assert sorted(map(str, got.select(sorted(got.columns)).collect())) == sorted(map(str, want.select(sorted(got.columns)).collect()))
+    assert bpe_encode(df.limit(0), PATH, P.PATTERN, decoded="decoded").count() == 0

@@ -87,3 +87,9 @@ def test_stages_take_odd_rows(spark, sf_dir):
     assert sorted((r.doc_id or 0, r.text) for r in seen["exact_dedup"]) == sorted([(1, good), (0, good + "Other."), (3, None), (5, good * 400)], key=lambda x: x[0])
     assert sum(r.doc_id == 1 for r in seen["near_dedup"]) == 1 and {3, 4} <= {r.doc_id for r in seen["near_dedup"]}
     assert len(seen["bpe"]) == len(rows) and [r.n_tokens for r in seen["bpe"] if r.doc_id in (3, 4)] == [0, 0]
+
+
+def test_a_task_of_the_last_stage_has_one_python_worker(spark, sf_dir):
+    """Words are encoded in one shuffle stage, texts are encoded and decoded in the next; no function in Python feeds another."""
+    plan = corpus_pipeline.tokens(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("MapInArrow") == 2
